@@ -1,7 +1,8 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from photoflow.llm.ngram_join import op10_ngram_jaccard
+from photoflow.llm.packing import op9_best_fit_packing
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op9_best_fit_packing": op9_best_fit_packing, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 ORACLE_SQL: dict[str, str] = {}
