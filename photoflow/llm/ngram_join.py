@@ -30,6 +30,8 @@ from photoflow.llm.common import connected_components, discard, materialise
 WORD_CACHE = 400_000
 #: Fragments of the global order in which a pair's overlap is counted.
 VERIFY_FRAGMENTS = 16
+#: Ids of documents with candidates that are broadcast at most, to find their texts.
+BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
 _P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -178,9 +180,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     score = hits.groupBy("id").agg(F.sum("c").alias("score"))
     lead = hits.join(score, "id").groupBy("sig").agg(F.max_by("id", F.struct("score", F.xxhash64("id"))).alias("b"))
     star = materialise(hits.join(lead, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
+    discard(hits)
 
     wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    frags = body.join(wanted, "id", "left_semi").mapInPandas(_fragmented(n), f"id {id_type}, size int, frags array<array<bigint>>")
+    wanted = materialise(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_IDS  # else the texts are shuffled
+    frags = body.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInPandas(_fragmented(n), f"id {id_type}, size int, frags array<array<bigint>>")
     frags = materialise(frags.dropDuplicates(["id"]), "frags")
 
     t = percent
@@ -237,7 +242,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = reps.select("fp", F.col("id").alias("rep")).join(final, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     groups = materialise(groups, "groups")
     out = materialise(sets.select("id", "n_grams", "fp").join(groups, "fp", "left"), "members")
-    for table in (sets, reps, hits, star, frags, diff, rows, centred, second, groups):
+    for table in (sets, reps, star, wanted, frags, diff, rows, centred, second, groups):
         discard(table)
     return out.select(F.col("id").alias(id_col), F.col("n_grams").cast("long").alias("n_grams"), F.coalesce("rep", "id").alias("representative"), F.coalesce("component", "id").alias("component_id"))
 
