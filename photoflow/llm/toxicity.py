@@ -4,8 +4,8 @@ Confirmed toxic examples and unlabelled texts train a sparse linear classifier i
 of the negative class is that of the unlabelled texts less pi times that of the positives taken as negative, and is kept
 from falling below zero: where a step would push it there, its gradient is turned round.
 
-Features are words and their leading letters (4 to 7), present or absent in a text. Only those found in at least
-MIN_POSITIVE of the sampled positives, and more often than in the unlabelled, are features; a model has MAX_FEATURES of
+Features are words and their leading letters (3 to 8), present or absent in a text. Only those found in at least
+MIN_POSITIVE, and MIN_SHARE, of the sampled positives, and more often than in the unlabelled, are features; a model has MAX_FEATURES of
 them at most, and so is bounded, however large the corpus is.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Rows that the classifier is fitted on, at most: labelled toxic rows, and rows taken as unlabelled text.
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 6_000
-MIN_POSITIVE, MAX_FEATURES = 4, 2_048
+MIN_POSITIVE, MIN_SHARE, MAX_FEATURES = 4, 0.005, 2_048
 #: Share of the documents whose labels are held out: crc32(doc_id) mod 4 = 2.
 HELD_OUT = "pmod(crc32(encode(cast(%s as string), 'UTF-8')), 4) = 2"
 THRESHOLD = 0.3
@@ -36,7 +36,7 @@ def tokens(text: str | None) -> set[str]:
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *[f"{word[:k]}*" for k in range(4, 8) if len(word) >= k]]
+    return [word, *[f"{word[:k]}*" for k in range(3, 9) if len(word) >= k]]
 
 
 class Model:
@@ -63,7 +63,7 @@ class Model:
         self.__init__(*state)
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 5e-4) -> Model:
+def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 2e-4) -> Model:
     """Fit by full-batch Adam on the non-negative risk with the logistic loss, with soft thresholding; weights are 0 or more.
 
     Without positives or a prior, the model has no features and scores everything alike, near the prior.
@@ -73,7 +73,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, st
     if not positive or not unlabelled:
         return Model({}, base)
     in_p, in_u = Counter(f for t in positive for f in t), Counter(f for t in unlabelled for f in t)
-    p_rate = {f: (c + 0.1) / len(positive) for f, c in in_p.items() if c >= min(MIN_POSITIVE, len(positive))}
+    p_rate = {f: (c + 0.1) / len(positive) for f, c in in_p.items() if c >= max(min(MIN_POSITIVE, len(positive)), MIN_SHARE * len(positive))}
     lift = {f: r / ((in_u[f] + 0.5) / len(unlabelled)) for f, r in p_rate.items()}
     # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest are too common elsewhere
     names = sorted((f for f in lift if lift[f] > 0.6 / prior), key=lambda f: (-lift[f] * np.sqrt(p_rate[f]), f))[:MAX_FEATURES]
