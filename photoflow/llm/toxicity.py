@@ -12,6 +12,7 @@ them at most, and so is bounded, however large the corpus is.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that the classifier is fitted on, at most: labelled toxic rows, and rows taken as unlabelled text.
-MAX_POSITIVE, MAX_UNLABELLED = 2_000, 6_000
+MAX_POSITIVE, MAX_UNLABELLED = 1_500, 4_500
 MIN_POSITIVE, MIN_SHARE, MAX_FEATURES = 4, 0.005, 2_048
 #: Share of the documents whose labels are held out: crc32(doc_id) mod 4 = 2.
 HELD_OUT = "pmod(crc32(encode(cast(%s as string), 'UTF-8')), 4) = 2"
@@ -35,8 +36,12 @@ def tokens(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+#: A word's features: itself, and its first 3 to 8 letters; None if it has fewer.
+KINDS = [lambda w: w, *[lambda w, k=k: f"{w[:k]}*" if len(w) >= k else None for k in range(3, 9)]]
+
+
 def features_of(word: str) -> list[str]:
-    return [word, *[f"{word[:k]}*" for k in range(3, 9) if len(word) >= k]]
+    return [f for kind in KINDS if (f := kind(word))]
 
 
 class Model:
@@ -63,18 +68,24 @@ class Model:
         self.__init__(*state)
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 2e-4) -> Model:
+def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 2e-4) -> Model:
     """Fit by full-batch Adam on the non-negative risk with the logistic loss, with soft thresholding; weights are 0 or more.
 
-    Without positives or a prior, the model has no features and scores everything alike, near the prior.
+    Each text is its distinct words. Without positives or a prior, the model has no features and scores everything alike,
+    near the prior.
     """
     prior = min(max(prior, 1e-3), 0.5)
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, base)
-    in_p, in_u = Counter(f for t in positive for f in t), Counter(f for t in unlabelled for f in t)
-    p_rate = {f: (c + 0.1) / len(positive) for f, c in in_p.items() if c >= max(min(MIN_POSITIVE, len(positive)), MIN_SHARE * len(positive))}
-    lift = {f: r / ((in_u[f] + 0.5) / len(unlabelled)) for f, r in p_rate.items()}
+    least = max(min(MIN_POSITIVE, len(positive)), MIN_SHARE * len(positive))
+    p_rate, lift = {}, {}
+    for kind in range(len(KINDS)):  # one kind of feature at a time, which bounds the counters
+        of = lambda words, kind=kind: {f for w in words if (f := KINDS[kind](w))}
+        in_p = {f: c for f, c in Counter(f for t in positive for f in of(t)).items() if c >= least}
+        in_u = Counter(f for t in unlabelled for f in of(t) if f in in_p)
+        p_rate |= {f: (c + 0.1) / len(positive) for f, c in in_p.items()}
+        lift |= {f: p_rate[f] / ((in_u[f] + 0.5) / len(unlabelled)) for f in in_p}
     # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest are too common elsewhere
     names = sorted((f for f in lift if lift[f] > 0.6 / prior), key=lambda f: (-lift[f] * np.sqrt(p_rate[f]), f))[:MAX_FEATURES]
     at = {f: k for k, f in enumerate(names)}
@@ -82,7 +93,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, st
     def matrix(rows):
         x = np.zeros((len(rows), len(names)), dtype=np.float32)
         for i, t in enumerate(rows):
-            x[i, [at[f] for f in t if f in at]] = 1
+            x[i, [at[f] for w in t for f in features_of(w) if f in at]] = 1
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
@@ -112,7 +123,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, st
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"positive": pdf["positive"], "words": [sorted(tokens(t)) for t in pdf["text"]]})
+        yield pd.DataFrame({"positive": pdf["positive"], "words": [" ".join(sorted(tokens(t))) for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -130,9 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pick = pos.select(id_col, F.lit(True).alias("positive")).union(some.select(id_col, F.lit(False).alias("positive")))
     # MAX_POSITIVE + MAX_UNLABELLED ids at most
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(pick), id_col).select("positive", "text")
-    got = sorted((bool(r.positive), list(r.words)) for r in rows.mapInPandas(_sampled, "positive boolean, words array<string>").toLocalIterator())
-    sets = {k: [{f for w in words for f in features_of(w)} for p, words in got if p == k] for k in (True, False)}
-    return train(sets[True], sets[False], float(prior))
+    sets: dict[bool, list[list[str]]] = {True: [], False: []}
+    for r in rows.mapInPandas(_sampled, "positive boolean, words string").toLocalIterator():
+        sets[r.positive].append([sys.intern(w) for w in r.words.split()])
+    return train(sorted(sets[True]), sorted(sets[False]), float(prior))
 
 
 def _scorer(spark, model: Model):

@@ -19,7 +19,7 @@ def test_held_out_accuracy(spark):
 
 def test_risk_learns_from_positives_and_unlabelled_only():
     r = random.Random(3)
-    text = lambda bad: {f"w{r.randrange(200)}" for _ in range(30)} | ({r.choice(["vile", "foul", "rank"])} if bad else set())
+    text = lambda bad: [*{f"w{r.randrange(200)}" for _ in range(30)}, *([r.choice(["vile", "foul", "rank"])] if bad else [])]
     model = train([text(True) for _ in range(200)], [text(r.random() < 0.1) for _ in range(2000)], 0.1)
     assert set(model.weights) >= {"vile", "foul", "rank"}
     assert model.score("w1 w2 vile") > 0.3 > model.score("w1 w2 w3")
