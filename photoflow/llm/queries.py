@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from photoflow.llm.chat import op8_chat_formatting
+from photoflow.llm.license_scan import op6_license_scan
 from photoflow.llm.line_dedup import op3_line_dedup
 from photoflow.llm.ngram_join import op10_ngram_jaccard
 from photoflow.llm.packing import op9_best_fit_packing
+from photoflow.llm.piece_lattice import op4_sentencepiece
 from photoflow.llm.quality_rules import op5_quality_rules
 from photoflow.llm.toxicity import op2_toxicity
 from photoflow.llm.url_filter import OP1_SQL, op1_url_filter
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
