@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from photoflow.llm.chat import op8_chat_formatting
+from photoflow.llm.image_match import op7_image_match
 from photoflow.llm.license_scan import op6_license_scan
 from photoflow.llm.line_dedup import op3_line_dedup
 from photoflow.llm.ngram_join import op10_ngram_jaccard
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scan": op6_license_scan,
+    "op7_image_match": op7_image_match,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
