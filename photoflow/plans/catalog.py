@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables and the DuckDB SQL that gives the same rows."""
+"""All registered queries over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from photoflow.plans import q_files, q_images, q_json, q_keywords, q_reports, q_streams  # noqa: F401
+from photoflow.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
