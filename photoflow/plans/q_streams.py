@@ -1 +1,40 @@
-"""Queries."""
+"""Streaming queries (STR): a log derived from ``events``, read back as a stream until it is used up."""
+
+from pyspark.sql import functions as F
+
+from photoflow.plans.fixtures import ctes, view
+from photoflow.plans.registry import query
+from photoflow.streaming import progress as S
+from photoflow.streaming.run import run_available
+
+_P = ctes("v_progress")
+
+
+def log(spark, sf):
+    return view(spark, sf, "v_progress").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"{_P} SELECT batch_id, count(*) AS total, count(CASE WHEN status = 'written' THEN 1 END) AS written, count(CASE WHEN status = 'skipped_existing' THEN 1 END) AS skipped_existing, count(CASE WHEN status = 'dry_run' THEN 1 END) AS dry_run, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM v_progress GROUP BY 1")
+def str_summary(spark, sf):
+    """STR1, STR2: the running summary at the end of the log."""
+    return run_available(log(spark, sf), S.summary, "complete")
+
+
+@query(f"{_P}, d AS (SELECT DISTINCT batch_id, source_path FROM v_progress) SELECT batch_id, count(*) AS files FROM d GROUP BY 1")
+def str_dedup(spark, sf):
+    """STR3: the log twice over, each file of a batch once."""
+    twice = log(spark, sf).union(log(spark, sf))
+    return run_available(twice, lambda s: S.deduplicated(s, "3650 days").select("batch_id", "source_path"), "append").groupBy("batch_id").agg(F.count("*").alias("files"))
+
+
+@query(f"{_P} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS files, sum(duration_ms)::BIGINT AS duration_ms FROM v_progress GROUP BY 1")
+def str_throughput(spark, sf):
+    """STR4, in complete mode, so that the last windows count too."""
+    out = run_available(log(spark, sf), S.throughput, "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "files", "duration_ms")
+
+
+@query(f"{_P} SELECT source_path, arg_max(status, (ts, event_id)) AS status FROM v_progress GROUP BY 1")
+def str_asset_state(spark, sf):
+    """STR5 by its batch twin; tests run the stateful form on the same log."""
+    return S.latest_state(log(spark, sf)).select("source_path", "status")

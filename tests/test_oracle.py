@@ -10,7 +10,7 @@ import pytest
 from photoflow.plans import catalog
 from photoflow.plans.fixtures import TABLES
 
-EMPTY_ON_200_DOCUMENTS = {"pln_collisions", "voc_violations"}
+EMPTY_ON_200_DOCUMENTS = {"key_pairs", "pln_collisions", "voc_violations"}
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
