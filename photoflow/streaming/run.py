@@ -21,8 +21,9 @@ def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame],
     """
     spark = rows.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.json(f"{base}/log")
-    reader = spark.readStream.schema(rows.schema)
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    rows.write.option("timestampFormat", micros).json(f"{base}/log")
+    reader = spark.readStream.schema(rows.schema).option("timestampFormat", micros)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     out = transform(reader.json(f"{base}/log"))
@@ -31,4 +32,4 @@ def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame],
         batch.write.mode("overwrite").parquet(f"{base}/out/last" if mode == "complete" else f"{base}/out/batch={number}")
 
     out.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out/last" if mode == "complete" else f"{base}/out")
+    return spark.read.schema(out.schema).parquet(f"{base}/out/last" if mode == "complete" else f"{base}/out").select(*out.columns)
