@@ -18,8 +18,8 @@ from photoflow.llm.common import WS, discard, materialise
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
 FEATURES = {
-    "words": "double(n_words)", "word_length": "word_chars / n_words", "symbols": "n_symbols / word_chars", "dup_lines": "n_dup_lines / n_lines",
-    "repeats": "n_repeat_words / n_words", "upper": "n_upper / word_chars", "digits": "n_digits / word_chars", "marks": "n_marks / n_words",
+    "words": "double(n_words)", "word_length": "try_divide(word_chars, n_words)", "symbols": "try_divide(n_symbols, word_chars)", "dup_lines": "try_divide(n_dup_lines, n_lines)",
+    "repeats": "try_divide(n_repeat_words, n_words)", "upper": "try_divide(n_upper, word_chars)", "digits": "try_divide(n_digits, word_chars)", "marks": "try_divide(n_marks, n_words)",
 }
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 

@@ -57,4 +57,4 @@ def test_learns_and_prunes_thresholds(spark):
 
 
 def test_rules_are_ordered_conditions():
-    assert DecisionList.condition([("symbols", ">", 0.5), ("words", "<=", 3.0)]) == "coalesce(n_symbols / word_chars, 0D) > 0.5D and coalesce(double(n_words), 0D) <= 3.0D"
+    assert DecisionList.condition([("symbols", ">", 0.5), ("words", "<=", 3.0)]) == "coalesce(try_divide(n_symbols, word_chars), 0D) > 0.5D and coalesce(double(n_words), 0D) <= 3.0D"
