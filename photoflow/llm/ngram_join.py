@@ -30,7 +30,7 @@ from photoflow.llm.common import connected_components, discard, materialise
 WORD_CACHE = 400_000
 #: Fragments of the global order in which a pair's overlap is counted.
 VERIFY_FRAGMENTS = 16
-#: Ids of documents with candidates that are broadcast at most, to find their texts.
+#: Rows of ids or of buckets that are broadcast at most; beyond it the same joins are shuffles.
 BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
@@ -173,10 +173,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = materialise(body.mapInPandas(_shingled(n, percent), f"id {id_type}, n_grams int, fp binary, sigs array<bigint>"), "sets")
     reps = sets.where("n_grams > 0").groupBy("fp").agg(F.min(F.struct("id", "sigs")).alias("r")).select("fp", "r.id", "r.sigs")
     reps = materialise(reps, "reps")
+    members = materialise(sets.select("id", "n_grams", "fp"), "ids")
+    discard(sets)
 
     sigs = reps.select(F.explode("sigs").alias("sig"), "id")
-    often = sigs.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    hits = materialise(sigs.join(often, "sig"), "hits")
+    often = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("c > 1")
+    often = materialise(often, "often")
+    # two members are known; only where there are more are the rows looked at again, without a shuffle if these are few
+    full = often.where("c > 2").select("sig", "c")
+    few = full.count() <= BROADCAST_IDS
+    two = often.where("c = 2").select("sig", F.explode(F.array("x", "y")).alias("id"), "c")
+    hits = materialise(two.union(sigs.join(F.broadcast(full) if few else full, "sig").select("sig", "id", "c")), "hits")
+    discard(often)
     score = hits.groupBy("id").agg(F.sum("c").alias("score"))
     lead = hits.join(score, "id").groupBy("sig").agg(F.max_by("id", F.struct("score", F.xxhash64("id"))).alias("b"))
     star = materialise(hits.join(lead, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
@@ -241,8 +249,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     groups = reps.select("fp", F.col("id").alias("rep")).join(final, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     groups = materialise(groups, "groups")
-    out = materialise(sets.select("id", "n_grams", "fp").join(groups, "fp", "left"), "members")
-    for table in (sets, reps, star, wanted, frags, diff, rows, centred, second, groups):
+    out = materialise(members.join(groups, "fp", "left"), "members")
+    for table in (members, reps, star, wanted, frags, diff, rows, centred, second, groups):
         discard(table)
     return out.select(F.col("id").alias(id_col), F.col("n_grams").cast("long").alias("n_grams"), F.coalesce("rep", "id").alias("representative"), F.coalesce("component", "id").alias("component_id"))
 
