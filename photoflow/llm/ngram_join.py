@@ -105,6 +105,10 @@ def signatures(grams: np.ndarray, spaces: Spaces) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = _mix(grams)
         for space, k, d in spaces.of(len(grams)):
+            if space < 0:  # sets too small for fragments: linked ones share one of their first grams (prefix filter)
+                first = len(grams) + 1 + (-spaces.t * len(grams)) // 100
+                out.append(_mix(grams[:first] * _P[0] + _P[2]))
+                continue
             if d == 0:
                 continue
             at = ((grams >> _U(32)) * _U(k)) >> _U(32)
