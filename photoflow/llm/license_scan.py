@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
 Candidate blocks, lines near words that licences use, are compressed with each template as a raw zstandard dictionary. The
-template that saves the most against no dictionary is the likely source, and is confirmed by the exact differences in
-wording. Rows stay where they are; nothing is shuffled.
+template that saves the most against no dictionary is the likely source. Each template is also aligned to its places in the
+block, and is confirmed at each by the exact differences in wording and by what its dictionary saves there. Rows stay where
+they are; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -37,7 +39,7 @@ _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 GAP = 3
 #: Code points around a mark that are looked at in a longer line.
 REACH = 600
-#: A winner saves this share at least, and lacks or changes this share of the template's words at most, and no number.
+#: At its place a template saves this share of its own compressed size at least, and lacks or changes this share of the template's words at most, and no number.
 MIN_SAVED, MAX_CHANGED = 0.3, 0.1
 
 
@@ -63,11 +65,14 @@ def blocks(text: str | None) -> Iterator[tuple[int, int, str]]:
                 end += 1
             yield first, last, "\n".join(lines[first : end + 1])
         else:
-            line, at = lines[first], 0
+            line, start, at = lines[first], None, 0  # windows that meet are one
             for m in _MARK.finditer(line):
-                if m.start() >= at:
-                    at = m.end() + REACH
-                    yield first, last, line[max(0, m.start() - REACH) : at]
+                if start is not None and m.start() - REACH > at:
+                    yield first, last, line[start:at]
+                    start = None
+                start = max(0, m.start() - REACH) if start is None else start
+                at = m.end() + REACH
+            yield first, last, line[start:at]
         first = last = k
 
 
@@ -77,6 +82,11 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.with_ = [zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.frame = len(self.plain.compress(b""))
+        self.sizes = [self.size(self.plain, " ".join(t.lower().split())) for _, t in templates]
+        self.places = [Counter(t) for _, _, t in self.templates]
+
+    def size(self, by: zstandard.ZstdCompressor, text: str) -> int:
+        return len(by.compress(text.encode())) - self.frame
 
     def differences(self, block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
         """Words that the block lacks of the template, and those that it has between the first and the last in common."""
@@ -88,34 +98,74 @@ class Scanner:
         extra = [w for tag, _, _, i, j in ops[equal[0] : equal[-1]] if tag != "equal" for w in block[i:j]]
         return lacks, extra
 
+    def aligned(self, k: int, own: list[str]) -> Iterator[tuple[int, int]]:
+        """Places (from, to) of the block's words where most of template ``k`` may be, by the words that a run of its length shares."""
+        want, n = self.places[k], len(self.templates[k][2])
+        room = int(MAX_CHANGED * n)
+        held: Counter = Counter()
+        common = 0
+        for e in range(len(own) + room):
+            if e < len(own):
+                common += held[own[e]] < want[own[e]]
+                held[own[e]] += 1
+            if e >= n:
+                w = own[e - n]
+                held[w] -= 1
+                common -= held[w] < want[w]
+            # a template with words put between has some of them beyond the run
+            if common >= n - 2 * room:
+                yield max(0, e - n + 1 - room), min(len(own), e + 1 + room)
+
+    def confirmed(self, block: str) -> list[tuple]:
+        """(from, to, template, saved, differences) of the templates that are in a block, each at its place, without overlaps."""
+        found = [(m.start(), m.end()) for m in _WORD.finditer(block)]
+        own = [block[i:j] for i, j in found]
+        hits = []
+        for k, (_, _, template) in enumerate(self.templates):
+            for x, y in self.aligned(k, own):
+                equal = [b for b in SequenceMatcher(None, template, own[x:y], autojunk=False).get_matching_blocks() if b.size]
+                if not equal:
+                    continue
+                i, j = x + equal[0].b, x + equal[-1].b + equal[-1].size
+                lacks, extra = self.differences(own[i:j], template)
+                changed = len(lacks) + len(extra)
+                if changed > MAX_CHANGED * len(template) or any(w[0].isdigit() for w in lacks):
+                    continue
+                text = " ".join(block[found[i][0] : found[j - 1][1]].split())
+                saved = (self.size(self.plain, text) - self.size(self.with_[k], text)) / max(1, self.sizes[k])
+                if saved >= MIN_SAVED:
+                    hits.append((changed, -len(template), i, j, k, round(saved, 6), " ".join([f"-{w}" for w in lacks] + [f"+{w}" for w in extra])))
+        out: list[tuple] = []
+        for _, _, i, j, k, saved, text in sorted(set(hits)):  # the fewest differences, then a longer wording before one within it
+            if all(j <= o[0] or o[1] <= i for o in out):
+                out.append((i, j, k, saved, text))
+        return sorted(out)
+
     def scan(self, text: str | None) -> Iterator[tuple]:
         for first, last, block in blocks(text):
-            data = " ".join(block.lower().split()).encode()
-            alone = len(self.plain.compress(data)) - self.frame
-            saved = [1 - (len(c.compress(data)) - self.frame) / max(1, alone) for c in self.with_]
-            own = words(block)
-            ranked = sorted(range(len(saved)), key=lambda k: (-saved[k], k))
-            best = None
-            for k in ranked[:3]:  # short wordings may tie in bytes; the differences decide
-                name, _, template = self.templates[k]
-                lacks, extra = self.differences(own, template)
-                changed = len(lacks) + len(extra)
-                sure = changed <= MAX_CHANGED * len(template) and not any(w[0].isdigit() for w in lacks)
-                row = (not sure, changed if sure else 0, -len(template) if sure else 0, ranked.index(k), name, round(saved[k], 6), " ".join(f"-{w}" for w in lacks), " ".join(f"+{w}" for w in extra))
-                best = min(best, row) if best else row
-            sure = not best[0] and best[5] >= MIN_SAVED
-            yield first, last, best[4], best[5], sure, f"{best[6]} {best[7]}".strip()
+            sure = self.confirmed(block.lower())
+            if sure:
+                for _, _, k, saved, differences in sure:
+                    yield first, last, self.templates[k][0], saved, True, differences
+                continue
+            data = " ".join(block.lower().split())
+            alone = self.size(self.plain, data)
+            saved = [1 - self.size(c, data) / max(1, alone) for c in self.with_]
+            k = min(range(len(saved)), key=lambda k: (-saved[k], k))
+            lacks, extra = self.differences(words(block), self.templates[k][2])
+            yield first, last, self.templates[k][0], round(saved[k], 6), False, " ".join([f"-{w}" for w in lacks] + [f"+{w}" for w in extra])
 
 
 _scanners: dict[tuple, Scanner] = {}
 
 
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block of a text: ``id_col, first_line, last_line, license, saved, confirmed, differences``.
+    """One row per template that is confirmed in a candidate block of a text, or one for a block without any: ``id_col, first_line, last_line, license, saved, confirmed, differences``.
 
-    license: the best template's; saved: the share of the compressed size that its dictionary saves; confirmed: see
-    MIN_SAVED and MAX_CHANGED; differences: ``-word`` it lacks and ``+word`` it has instead. Null and empty texts have
-    no blocks; repeated rows are scanned each; ties in bytes go to the fewer differences, then the longer template.
+    license: the template's; saved: what its dictionary saves at its place, as a share of the template's own compressed
+    size, or in a block without any the share of the block's; confirmed: see MIN_SAVED and MAX_CHANGED; differences:
+    ``-word`` it lacks and ``+word`` it has instead. Null and empty texts have no blocks; repeated rows are scanned each.
+    Of templates at one place the one with fewer differences is taken, then the longer.
     """
     key = tuple(templates or TEMPLATES)
 

@@ -29,3 +29,20 @@ def test_template_marks_are_found():
     from photoflow.llm.license_scan import _MARK
 
     assert all(re.search(_MARK, t) for _, t in TEMPLATES)
+
+
+def test_short_notices_within_prose_and_two_in_one_block(spark):
+    prose = "the old house stood by the river where nobody had gone since the long winter when snow lay deep upon every field and road and the miller told his children of wolves that came down from the hills at night ".strip()
+    short = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0."]
+    rows = [f"{prose[:n]} {x} {prose}" for n in (40, 180) for x in short]
+    rows += [" ".join([short[0], prose, short[1]]), f"{short[0]}\n{short[2]}", "we asked what license the old house has", " ".join([prose] * 8 + [short[0]] + [prose] * 8 + [short[1]])]
+    got = [sorted(r.license for r in scanned(spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], DOCS)).where(f"confirmed and doc_id = {i}").collect()) for i in range(len(rows))]
+    assert got == [["MIT"], ["CC-BY-4.0"], ["Apache-2.0"]] * 2 + [["CC-BY-4.0", "MIT"], ["Apache-2.0", "MIT"], [], ["CC-BY-4.0", "MIT"]]
+
+
+def test_each_of_adjacent_notices_is_a_row():
+    from photoflow.llm.license_scan import Scanner
+
+    scan = Scanner(TEMPLATES).scan
+    for name, text in TEMPLATES:
+        assert [r[2] for r in scan(f"{text} {text}") if r[4]] == [name] * 2, text
