@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +48,30 @@ def orphan_parents(vocab: DataFrame) -> DataFrame:
     return vocab.where("parent_path is not null").join(parents, "parent_path", "left_anti").select("canonical_path", "parent_path")  # VOC4
 
 
-def cycles(vocab: DataFrame, depth: int = 16) -> DataFrame:
-    """Entries whose chain of parents comes back to them within ``depth`` steps (VOC5), by a bounded recursive query."""
-    spark = vocab.sparkSession
-    vocab.select("canonical_path", "parent_path").createOrReplaceTempView("_photoflow_vocabulary")
-    return spark.sql(f"""
-        WITH RECURSIVE up(start, at, n) AS (
-          SELECT canonical_path, parent_path, 1 FROM _photoflow_vocabulary WHERE parent_path IS NOT NULL
-          UNION ALL SELECT u.start, v.parent_path, u.n + 1 FROM up u JOIN _photoflow_vocabulary v ON v.canonical_path = u.at
-          WHERE v.parent_path IS NOT NULL AND u.n < {depth} AND u.at <> u.start)
-        SELECT DISTINCT start AS canonical_path FROM up WHERE at = start""")
+def _written(df: DataFrame, base: str) -> DataFrame:
+    path = f"{base}/cycles-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cycles(vocab: DataFrame) -> DataFrame:
+    """Entries whose chain of parents comes back to them, however long (VOC5).
+
+    Steps are doubled in each round. Where every entry has one parent, what 2^k steps reach shrinks to the entries of the
+    cycles, and no longer changes then. With several parents (repeated paths) all that can be reached is put together.
+    """
+    base = (vocab.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photoflow-")).rstrip("/")
+    step = _written(vocab.where("parent_path is not null").selectExpr("canonical_path as a", "parent_path as b").distinct(), base)
+    single = step.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    size = None
+    while True:
+        reached = step.select("b").distinct() if single else step
+        now = reached.count()
+        if now == size:
+            return (reached if single else step.where("a = b")).select(F.col("b").alias("canonical_path"))
+        size = now
+        twice = step.join(step.selectExpr("a as b", "b as c"), "b").selectExpr("a", "c as b")
+        step = _written(twice if single else step.union(twice).distinct(), base)
 
 
 def canonicalize(cands: DataFrame, vocab: DataFrame, term: str = "term", ascii_only: bool = False) -> DataFrame:

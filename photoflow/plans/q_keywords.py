@@ -10,7 +10,7 @@ from photoflow.operators import vocabulary as V
 from photoflow.plans.fixtures import ctes, view
 from photoflow.plans.q_files import images as image_files
 from photoflow.plans.q_json import RESPONSES
-from photoflow.plans.registry import query
+from photoflow.plans.registry import ORACLE_SQL, query
 
 _O = ctes("v_observations")
 _FOLD = "trim(regexp_replace(lower(term), '\\s+', ' ', 'g'))"
@@ -151,12 +151,25 @@ nm AS (SELECT canonical_path, lower(flat_keyword) AS name, 0 AS s FROM v UNION A
 SELECT 'duplicate' AS kind, canonical_path AS name FROM r UNION ALL SELECT 'orphan', canonical_path FROM o UNION ALL SELECT 'ambiguous', name FROM a""")
 def voc_violations(spark, sf):
     """VOC2, VOC3, VOC4."""
+    return violations(spark, sf, _BAD)
+
+
+def violations(spark, sf, bad):
     view(spark, sf, "part")
-    v = spark.sql(_BAD).withColumn("synonyms", F.array("synonym"))
+    v = spark.sql(bad).withColumn("synonyms", F.array("synonym"))
     named = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name")).distinct()
     return named(V.duplicate_paths(v), "duplicate", "canonical_path").union(named(V.orphan_parents(v), "orphan", "canonical_path")).union(named(V.ambiguous_synonyms(v, ascii_only=True), "ambiguous", "name"))
 
 
+_BAD_WHOLE = _BAD.removesuffix(" WHERE p_partkey < 2000")
+
+
+@query(ORACLE_SQL["voc_violations"].replace(_BAD, _BAD_WHOLE))
+def voc_violations_whole(spark, sf):
+    """VOC2, VOC3, VOC4, of the whole table."""
+    return violations(spark, sf, _BAD_WHOLE)
+
+
 _LOOPS = "SELECT CAST(p_partkey AS STRING) AS canonical_path, CASE WHEN p_partkey % 10 = 0 THEN CAST(p_partkey + 1 AS STRING) WHEN p_partkey % 10 = 1 THEN CAST(p_partkey - 1 AS STRING) WHEN p_partkey % 10 < 5 THEN CAST(p_partkey - 1 AS STRING) END AS parent_path FROM part"
 
 
@@ -164,7 +177,7 @@ _LOOPS = "SELECT CAST(p_partkey AS STRING) AS canonical_path, CASE WHEN p_partke
 def voc_cycles(spark, sf):
     """VOC5."""
     view(spark, sf, "part")
-    return V.cycles(spark.sql(_LOOPS), depth=8)
+    return V.cycles(spark.sql(_LOOPS))
 
 
 @query(f"{_CAND} SELECT session_id, image_id, canonical_path, count(*) AS n FROM obs GROUP BY 1, 2, 3")
