@@ -56,6 +56,12 @@ def key_normalize(spark, sf):
     return view(spark, sf, "documents").select("doc_id", K.normalize_keyword(F.expr("'  é' || chr(9) || substr(text, 1, 40) || ' '")).alias("keyword"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(nfc_normalize('  é' || chr(9) || text || ' '), '\\s+', ' ', 'g')) AS keyword FROM documents")
+def key_normalize_whole(spark, sf):
+    """KEY2, of whole texts."""
+    return view(spark, sf, "documents").select("doc_id", K.normalize_keyword(F.expr("'  é' || chr(9) || text || ' '")).alias("keyword"))
+
+
 _MIX = "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a|b' WHEN 2 THEN 'New York' ELSE 'owl' END"
 
 
