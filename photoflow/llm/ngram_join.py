@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join by vertical partitioning, reduced to linked groups.
 
-A document is a set of word n-gram hashes, and the hashes' order is the global order. It is cut into fragments, equal
-ranges of that order, more of them than two linked sets can differ in; so two linked sets hold at least one fragment
-alike, which is what the candidate join matches on. Overlaps are then counted fragment by fragment and summed per pair.
-
-A group of N near copies isn't expanded into N * N pairs. Each bucket (a fragment's exact content) has a leader, the
-member whose fragments are the most common, and members are compared with leaders. Let ``l`` be a reference set, taken
-as the leader with what most of its candidates change put right, and let a set lack ``m`` and add ``p`` grams against
-it: ``weight = 100 m + t p``. Two sets with ``s`` changes in common are linked if and only if
+A document is a set of word n-gram hashes. The global order of n-grams puts those of the fewest documents first. It is
+cut twice. For candidates, equal ranges of hashes go to one group each, which counts in how many documents each n-gram
+is; two linked sets share one of their first n-grams (prefix filter), and of these only the ones of two documents or
+more can meet. For overlaps, each candidate's set is cut into fragments, partial overlaps are counted as rows of
+(fragment, pair), and summed per pair.
+
+A group of N near copies isn't expanded into N * N pairs. Each bucket (the documents with one n-gram among their first)
+has a leader, the member whose n-grams are the most common, and members are compared with leaders. Let ``l`` be a
+reference set, taken as the leader with what most of its candidates change put right, and let a set lack ``m`` and add
+``p`` grams against it: ``weight = 100 m + t p``. Two sets with ``s`` changes in common are linked if and only if
 ``weight1 + weight2 <= (100 - t) l + (100 + t) s``. Without common changes, whoever is linked to anyone is linked to the
 lightest member; what remains shares an added gram, or passes the test with ``s`` at its most; only such pairs, and
 only those of different groups so far, are compared in full.
@@ -15,172 +17,194 @@ only those of different groups so far, are compared in full.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photoflow.llm.common import connected_components, discard, materialise
+from photoflow.llm.hashing import P, mix, span_hashes, spans
 
-#: Distinct words whose hashes a Python worker keeps before it starts afresh.
-WORD_CACHE = 400_000
 #: Fragments of the global order in which a pair's overlap is counted.
-VERIFY_FRAGMENTS = 16
+VERIFY_FRAGMENTS = 8
 #: Rows of ids or of buckets that are broadcast at most; beyond it the same joins are shuffles.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text whose grams a task handles at a time, and grams of a group that counts them: some so many, and LEAST_GROUPS groups.
+SOME_BYTES, SOME_GRAMS, LEAST_GROUPS = 8_000_000, 2_000_000, 512
 
 _U = np.uint64
-_P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.diff(x, prepend=~x[:1]) != 0]
 
 
-_words = _Words()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _P[3]
-    x = (x ^ (x >> _U(29))) * _P[4]
-    return x ^ (x >> _U(32))
-
-
-def gram_set(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word grams of UTF-8 ``text``; of all its words if there are fewer."""
-    words = text.lower().split() if text else []  # bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+def gram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word grams of each UTF-8 text; of all its words as one if there are fewer."""
+    sizes = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+    data = np.frombuffer(b"\n".join(t or b"" for t in texts), dtype=np.uint8)
+    starts, ends = spans(_SPACE[data])
+    h = span_hashes(_LOWER[data], starts, ends)
+    doc = np.searchsorted(np.cumsum(sizes + 1), starts, side="right")
+    words = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(words) - words
     with np.errstate(over="ignore"):
-        k = min(n, len(h))
-        g = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            g = g * _P[5] + h[i : len(h) - k + 1 + i] * _P[i % 3]
-            g ^= g >> _U(31)
-        return np.unique(_mix(g))
-
-
-class Spaces:
-    """Size classes; ``of(n)`` gives (space, fragments, most differences) for each class in which n grams may have partners."""
-
-    def __init__(self, percent: int):
-        self.t = percent
-
-    @staticmethod
-    def start(i: int) -> int:
-        return 1 if i < 0 else math.ceil(10 * 1.5**i)
-
-    def shape(self, i: int) -> tuple[int, int]:
-        low, n = self.start(i), self.start(i + 1) - 1
-        d = (100 - self.t) * (n + 100 * n // self.t) // (100 + self.t)
-        k = d + 1
-        return (k + 2 + int(3 * k * math.exp(-low / k)), d)
-
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        i = -1
-        while self.start(i + 1) <= n:
-            i += 1
-        own = [i] + ([i - 1] if i >= 0 and n <= (self.start(i) - 1) * 100 // self.t else [])
-        if i >= 1 and n <= (self.start(i - 1) - 1) * 100 // self.t:
-            own.append(i - 2)
-        return [(j, *self.shape(j)) for j in own]
 
-
-def signatures(grams: np.ndarray, spaces: Spaces) -> np.ndarray:
-    """A hash for the content of each fragment; two sets that are linked have one in common unless they are equal.
-
-    Empty fragments alike would match too much; K fragments and at most D differences leave K - D or more alike, so
-    they count only where a set has that many empty ones, and then by pairs (K - D is 3 or more).
+        def grams(at: np.ndarray, k: int) -> np.ndarray:
+            g = np.full(len(at), k, dtype=np.uint64)
+            for i in range(k):
+                g = g * P[5] + h[at + i] * P[i % 3]
+                g ^= g >> _U(31)
+            return mix(g)
+
+        whole = np.arange(max(0, len(h) - n + 1))
+        whole = whole[doc[whole] == doc[whole + n - 1]]
+        g = grams(whole, n)
+        of = np.searchsorted(doc[whole], np.arange(len(texts) + 1))
+        out = [_distinct(g[of[i] : of[i + 1]]) for i in range(len(texts))]
+        for k in range(1, n):
+            for i in np.flatnonzero(words == k):
+                out[i] = grams(first[i : i + 1], k)
+    return out
+
+
+def _some(batches: Iterator[pd.DataFrame], most: int = 60_000) -> Iterator[tuple[list, list]]:
+    """Ids and texts of some documents at a time."""
+    ids, texts, size = [], [], 0
+    for pdf in batches:
+        for i, text in zip(pdf["id"], pdf["body"], strict=True):
+            ids.append(i)
+            texts.append(text)
+            size += len(text) if text else 0
+            if size >= SOME_BYTES or len(ids) >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _dealt(n: int, groups: int):
+    """A row for each (batch of documents, group): the low halves of the grams of the group's range, and their documents' numbers.
+
+    One more row of a batch, without grams, has its documents' ids and how many grams each has.
     """
-    out = []
-    with np.errstate(over="ignore"):
-        mixed = _mix(grams)
-        for space, k, d in spaces.of(len(grams)):
-            if space < 0:  # sets too small for fragments: linked ones share one of their first grams (prefix filter)
-                first = len(grams) + 1 + (-spaces.t * len(grams)) // 100
-                out.append(_mix(grams[:first] * _P[0] + _P[2]))
-                continue
-            if d == 0:
-                continue
-            at = ((grams >> _U(32)) * _U(k)) >> _U(32)
-            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            tag = at[starts] * _P[1] + _U(space + 2) * _P[2]
-            out.append(_mix(np.add.reduceat(mixed, starts) * _P[0] + tag))
-            if k - len(starts) >= k - d:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at[starts])
-                x, y = np.triu_indices(len(empty), 1)
-                out.append(_mix((empty[x] * _U(k) + empty[y]) * _P[5] + _U(space + 2) * _P[6]))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-
-
-def _shingled(n: int, percent: int):
-    spaces = Spaces(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["body"], strict=True):
-                g = gram_set(text, n)
-                fp = xxhash.xxh3_128_digest(g.tobytes())
-                rows.append((i, len(g), fp, signatures(g, spaces).view(np.int64) if len(g) else []))
-            yield pd.DataFrame(rows, columns=["id", "n_grams", "fp", "sigs"])
+        batch = TaskContext.get().partitionId() << 32
+        for ids, texts in _some(batches):
+            sets = gram_sets(texts, n)
+            size = np.array([len(s) for s in sets])
+            g = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(sets)), size).astype(np.uint16)
+            group = ((g >> _U(32)) * _U(groups)) >> _U(32)
+            order = np.argsort(group, kind="stable")
+            g, doc, group = g[order].astype(np.uint32), doc[order], group[order]
+            cut = np.concatenate((np.flatnonzero(np.diff(group, prepend=_U(groups))), [len(g)]))
+            rows = [(batch % groups, batch, len(g), ids, size, None, None)]
+            rows += [(int(group[s]), batch, 0, None, None, doc[s:e].tobytes(), g[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield pd.DataFrame(rows, columns=["part", "batch", "total", "ids", "sizes", "docs", "grams"])
+            batch += 1
 
     return run
 
 
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of grams: what is left of each row are grams of two documents or more, and in how many each is."""
+    full = pdf["grams"].notna()
+    head, rest = pdf[~full].assign(dfs=None), pdf[full]
+    if len(rest) == 0:
+        return head
+    grams, docs = [np.frombuffer(x, np.uint32) for x in rest["grams"]], [np.frombuffer(x, np.uint16) for x in rest["docs"]]
+    _, which, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    dfs = np.split(count[which].astype(np.uint32), np.cumsum([len(x) for x in grams])[:-1])
+    left = lambda xs: [x[df > 1].tobytes() for x, df in zip(xs, dfs, strict=True)]
+    rest = rest.assign(total=[-len(x) for x in grams], docs=left(docs), grams=left(grams), dfs=left(dfs))
+    return pd.concat([head, rest]) if len(head) else rest
+
+
+def _first_ones(percent: int):
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one batch of documents: id, number of grams, and which of their first ones are of two documents or more."""
+        if pdf["total"].sum() != 0:
+            raise RuntimeError("grams of a batch are missing: the input gives other rows when it is read again")
+        head, rest = pdf[pdf["ids"].notna()].iloc[0], pdf[pdf["grams"].notna()]
+        size = np.asarray(head["sizes"], dtype=np.int64)
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rest[c]] or [np.empty(0, t)])
+        grams, docs, df = join("grams", np.uint32), join("docs", np.uint16).astype(np.int64), join("dfs", np.uint32)
+        part = np.repeat(rest["part"].to_numpy(dtype=np.int64), [len(x) // 4 for x in rest["grams"]])
+        token = (part << 32) | grams.astype(np.int64)
+        order = np.lexsort((token, df, docs))
+        token, docs = token[order], docs[order]
+        own = np.bincount(docs, minlength=len(size))
+        # a document's grams that no other has come first, and meet nothing
+        first = size + 1 + (-percent * size) // 100 - (size - own)
+        start = np.cumsum(own) - own
+        token = token[np.arange(len(docs)) - start[docs] < first[docs]]
+        count = np.clip(np.minimum(first, own), 0, None)
+        return pd.DataFrame({"id": head["ids"], "size": size, "sigs": np.split(token, np.cumsum(count)[:-1])})
+
+    return of
+
+
 def _fragmented(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for ids, texts in _some(batches):
             rows = []
-            for i, text in zip(pdf["id"], pdf["body"], strict=True):
-                g = gram_set(text, n)
-                cut = np.searchsorted(g >> _U(60), np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64))
-                rows.append((i, len(g), [x.view(np.int64) for x in np.split(g, cut)]))
-            yield pd.DataFrame(rows, columns=["id", "size", "frags"])
+            for i, g in zip(ids, gram_sets(texts, n), strict=True):
+                cut = np.searchsorted(((g >> _U(32)) * _U(VERIFY_FRAGMENTS)) >> _U(32), np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64))
+                rows += [(i, f, x.view(np.int64)) for f, x in enumerate(np.split(g, cut))]
+            yield pd.DataFrame(rows, columns=["id", "f", "grams"])
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with both sizes, the overlap (a partial count per fragment, summed), and what a adds and lacks."""
-    x = sets.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("frags").alias("fa"))
-    y = sets.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("frags").alias("fb"))
-    both = pairs.join(x, "a").join(y, "b")
-    partial = F.zip_with("fa", "fb", lambda p, q: F.size(F.array_intersect(p, q)))
-    return both.select(
-        "a", "b", "size_a", "size_b", F.aggregate(partial, F.lit(0), lambda s, c: s + c).alias("overlap"),
-        F.flatten(F.zip_with("fa", "fb", lambda p, q: F.array_except(p, q))).alias("plus"),
-        F.flatten(F.zip_with("fa", "fb", lambda p, q: F.array_except(q, p))).alias("minus"),
-    )
+def _facing(pairs: DataFrame, frags: DataFrame) -> DataFrame:
+    """A row for each pair(a, b) and fragment, with both sides' grams ``ga`` and ``gb``."""
+    x, y = frags.select(F.col("id").alias("a"), "f", F.col("grams").alias("ga")), frags.select(F.col("id").alias("b"), "f", F.col("grams").alias("gb"))
+    return pairs.join(x, "a").join(y, ["b", "f"])
+
+
+def _linked(pairs: DataFrame, frags: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Which pairs(a, b) are linked, as edges: partial overlaps are counted by (fragment, pair) and summed per pair."""
+    x, y = sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b"))
+    can = pairs.join(x, "a").join(y, "b").where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    partial = _facing(can, frags).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ga", "gb")).alias("c"))
+    overlap = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("c").alias("overlap"))
+    return overlap.where(f"{100 + percent} * overlap >= {percent} * (size_a + size_b)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Link documents whose sets of n-word grams have ``100 * |A & B| >= percent * |A | B|``; one row per document.
 
     Words are runs other than ASCII white space, A-Z lower-cased. With fewer than n words the whole sequence is one
-    gram. Returns ``id_col, n_grams, representative, component_id``: the least id with the same set, and the least id
+    gram. Returns ``id_col, n_grams, representative, component_id``: the least id with the same text, and the least id
     reachable over links. Null, empty and wordless texts have an empty set, no link, and are their own component. An id
-    stands for one text and is not null; repeated rows give repeated rows. Other columns
-    are not looked at. An empty table gives an empty result.
+    stands for one text; repeated rows give repeated rows, rows with a null id are left out. Other columns are not
+    looked at. An empty table gives an empty result. ``docs`` has to give the same rows in the same order when it is
+    read again, as a table does; where it doesn't, this ends with an error.
     """
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
+    body = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
     id_type = dict(body.dtypes)["id"]
-    sets = materialise(body.mapInPandas(_shingled(n, percent), f"id {id_type}, n_grams int, fp binary, sigs array<bigint>"), "sets")
-    reps = sets.where("n_grams > 0").groupBy("fp").agg(F.min(F.struct("id", "sigs")).alias("r")).select("fp", "r.id", "r.sigs")
-    reps = materialise(reps, "reps")
-    members = materialise(sets.select("id", "n_grams", "fp"), "ids")
-    discard(sets)
-
-    sigs = reps.select(F.explode("sigs").alias("sig"), "id")
+    keyed = materialise(body.select("id", F.md5(F.coalesce("body", F.lit(b""))).alias("h"), F.octet_length("body").cast("long").alias("bytes")), "keyed")
+    members = materialise(keyed.select("id", "h").join(keyed.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep"), "members")
+    total = keyed.agg(F.sum("bytes")).first()[0] or 0
+    discard(keyed)
+    copies = members.where("id <> rep").select("id").distinct()
+    few = copies.count() <= BROADCAST_IDS  # else the texts are shuffled
+    body = body.join(F.broadcast(copies), "id", "left_anti") if few else materialise(body.join(copies, "id", "left_anti"), "bodies")
+    groups = max(LEAST_GROUPS, total // 6 // SOME_GRAMS)
+    layout = f"part int, batch long, total int, ids array<{id_type}>, sizes array<int>, docs binary, grams binary"
+    counted = body.mapInPandas(_dealt(n, groups), layout).groupBy("part").applyInPandas(_counted, layout + ", dfs binary")
+    sets = counted.groupBy("batch").applyInPandas(_first_ones(percent), f"id {id_type}, size int, sigs array<bigint>").where("size > 0")
+    sets = materialise(sets.dropDuplicates(["id"]), "sets")
+
+    sigs = sets.select(F.explode("sigs").alias("sig"), "id")
     often = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("c > 1")
     often = materialise(often, "often")
     # two members are known; only where there are more are the rows looked at again, without a shuffle if these are few
@@ -188,32 +212,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = full.count() <= BROADCAST_IDS
     two = often.where("c = 2").select("sig", F.explode(F.array("x", "y")).alias("id"), "c")
     hits = materialise(two.union(sigs.join(F.broadcast(full) if few else full, "sig").select("sig", "id", "c")), "hits")
-    discard(often)
     score = hits.groupBy("id").agg(F.sum("c").alias("score"))
     lead = hits.join(score, "id").groupBy("sig").agg(F.max_by("id", F.struct("score", F.xxhash64("id"))).alias("b"))
     star = materialise(hits.join(lead, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
-    discard(hits)
 
     wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS  # else the texts are shuffled
-    frags = body.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInPandas(_fragmented(n), f"id {id_type}, size int, frags array<array<bigint>>")
-    frags = materialise(frags.dropDuplicates(["id"]), "frags")
+    frags = body.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInPandas(_fragmented(n), f"id {id_type}, f int, grams array<bigint>")
+    frags = materialise(frags.dropDuplicates(["id", "f"]), "frags")
+    sizes = materialise(sets.join(wanted, "id").select("id", "size"), "sizes")
 
     t = percent
-    diff = materialise(_compared(star, frags), "diff")
-    linked = f"{100 + t} * overlap >= {t} * (size_a + size_b)"
-    links = diff.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    first = connected_components(links)
+    first = materialise(connected_components(_linked(star, frags, sizes, t)), "first")
 
     # groups around a leader that still hold members of different components
-    own = diff.select("b").distinct().select(F.col("b").alias("a"), "b")
-    comp = own.union(diff.select("a", "b")).join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("comp"))
+    own = star.select("b").distinct().select(F.col("b").alias("a"), "b")
+    comp = own.union(star).join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("comp"))
     open_ = comp.groupBy("b").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("members > 2 and lo <> hi").select("b", "members")
-    size = frags.select(F.col("id").alias("b"), F.col("size").alias("l"))
+    open_ = materialise(open_, "open")
     none = F.array().cast("array<bigint>")
-    rows = diff.select("a", "b", "plus", "minus").union(own.select("a", "b", none.alias("plus"), none.alias("minus")))
-    rows = materialise(rows.join(open_, "b").join(size, "b").join(comp, ["a", "b"]), "rows")
+    changes = _facing(star.join(open_.select("b"), "b"), frags).select("a", "b", F.array_except("ga", "gb").alias("plus"), F.array_except("gb", "ga").alias("minus"))
+    changes = changes.groupBy("a", "b").agg(F.flatten(F.collect_list("plus")).alias("plus"), F.flatten(F.collect_list("minus")).alias("minus"))
+    changes = changes.union(own.select("a", "b", none.alias("plus"), none.alias("minus")))
+    rows = changes.join(open_, "b").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("l")), "b").join(comp, ["a", "b"])
+    rows = materialise(rows, "rows")
     item = rows.select("b", "members", F.explode("plus").alias("g"), F.lit(True).alias("added")).union(rows.select("b", "members", F.explode("minus").alias("g"), F.lit(False).alias("added")))
     flips = item.groupBy("b", "g", "added", "members").agg(F.count("*").alias("c")).where("2 * c > members")
     # at most as many as the members' mean number of changes, times two, for one leader
@@ -231,7 +254,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = materialise(second, "second")
     centred = centred.drop("comp").join(second.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
     still = centred.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("b")
-    centred = materialise(centred.join(still, "b", "left_semi"), "open")
+    centred = materialise(centred.join(still, "b", "left_semi"), "left")
 
     can = f"w + w2 <= {100 - t} * l + {100 + t} * (least(m, m2) + %s)"
     other = [F.col(c).alias(f"{c}2") for c in ("a", "m", "p", "w", "comp")]
@@ -247,16 +270,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fits = shape.join(shape2, "b").where(can % "0").where(f"w + w2 > {100 - t} * l and not (lo = hi and lo2 = hi2 and lo = lo2)").select("b", "m", "p", "m2", "p2")
     by_shape = centred.join(fits, ["b", "m", "p"]).select("a", "b", "comp", "m2", "p2").join(centred.select("b", *other), ["b", "m2", "p2"])
     by_shape = by_shape.where("a < a2 and comp <> comp2").select("a", F.col("a2").alias("b")).distinct()
-    more = _compared(by_gram.union(by_shape).distinct(), frags).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = _linked(by_gram.union(by_shape).distinct(), frags, sizes, t)
     final = connected_components(second.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
     final = final.select(F.col("node").alias("rep"), "component")
 
-    groups = reps.select("fp", F.col("id").alias("rep")).join(final, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
-    groups = materialise(groups, "groups")
-    out = materialise(members.join(groups, "fp", "left"), "members")
-    for table in (members, reps, star, wanted, frags, diff, rows, centred, second, groups):
+    # a text's copies go with it, but for texts without words
+    groups = sets.select(F.col("id").alias("rep"), "size").join(final, "rep", "left").select("rep", "size", F.coalesce("component", "rep").alias("component"))
+    out = materialise(members.join(groups, "rep", "left"), "members")
+    for table in (members, sets, often, hits, star, wanted, frags, sizes, first, open_, rows, centred, second):
         discard(table)
-    return out.select(F.col("id").alias(id_col), F.col("n_grams").cast("long").alias("n_grams"), F.coalesce("rep", "id").alias("representative"), F.coalesce("component", "id").alias("component_id"))
+    own_id = lambda c: F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col(c))
+    return out.select(F.col("id").alias(id_col), F.coalesce("size", F.lit(0)).cast("long").alias("n_grams"), own_id("rep").alias("representative"), own_id("component").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
