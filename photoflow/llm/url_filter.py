@@ -60,12 +60,13 @@ def matched(urls: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """``urls`` (keys, host, path) with the ``rule`` string and ``action`` of the longest fitting rule, else null.
 
     A rule fits its host and that host's subdomains if the path starts with the rule's. Ties in length go to allow, then
-    to the greater string. Hosts' suffixes are joined with the rules' hosts by equality.
+    to the greater string. Hosts' suffixes of as many labels as some rule's host has are joined with these by equality.
     """
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "action").distinct()
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) + 1
+    counts = sorted(r[0] for r in rules.select(labels("rule_host")).distinct().collect())  # a host name has 127 labels at most
+    suffixes = F.array_compact(F.array(*[F.when(labels("host") >= k, F.substring_index("host", ".", -k)) for k in counts]).cast("array<string>"))
     each = urls.where("host <> ''").select(*keys, "path", F.explode(suffixes).alias("rule_host"))
     hit = each.join(F.broadcast(rules) if small else rules, "rule_host").where("startswith(path, rule_path)")
     best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), (F.col("action") == "allow").alias("allow"), F.concat("rule_host", "rule_path").alias("rule"), "action"))
