@@ -11,8 +11,10 @@ them at most, and so is bounded, however large the corpus is.
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows that the classifier is fitted on, at most: labelled toxic rows, and rows taken as unlabelled text.
 MAX_POSITIVE, MAX_UNLABELLED = 1_500, 4_500
+#: Distinct words of such a row, at most: those with the least checksum.
+MAX_WORDS = 20_000
 MIN_POSITIVE, MIN_SHARE, MAX_FEATURES = 4, 0.005, 2_048
 #: Share of the documents whose labels are held out: crc32(doc_id) mod 4 = 2.
 HELD_OUT = "pmod(crc32(encode(cast(%s as string), 'UTF-8')), 4) = 2"
@@ -123,26 +127,28 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float,
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"positive": pdf["positive"], "words": [" ".join(sorted(tokens(t))) for t in pdf["text"]]})
+        words = [" ".join(sorted(heapq.nsmallest(MAX_WORDS, tokens(t), key=lambda w: zlib.crc32(w.encode())))) for t in pdf["text"]]
+        yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": words})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on rows that aren't held out: at most MAX_POSITIVE labelled toxic ones, and MAX_UNLABELLED of any kind.
 
-    Both are those with the least hash of the id. The prior is the toxic share of all labels that aren't held out. What
-    goes to the driver are the distinct words of these rows.
+    Both are those with the least hash of the id; an id counts once, with one of its texts. The prior is the toxic share
+    of all labels that aren't held out. What goes to the driver are MAX_WORDS distinct words of each at most.
     """
     mine = f"{id_col} is not null and not {HELD_OUT % id_col}"
     by_hash = [F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.col(id_col)]
     own = labels.where(mine).select(id_col, "toxic").where("toxic is not null").distinct()
     prior = own.agg(F.avg("toxic")).first()[0] or 0.0
-    pos = own.where("toxic = 1").select(id_col).orderBy(*by_hash).limit(MAX_POSITIVE)
-    some = docs.where(mine).select(id_col).orderBy(*by_hash).limit(MAX_UNLABELLED)
+    pos = own.where("toxic = 1").select(id_col).distinct().orderBy(*by_hash).limit(MAX_POSITIVE)
+    some = docs.where(mine).select(id_col).distinct().orderBy(*by_hash).limit(MAX_UNLABELLED)
     pick = pos.select(id_col, F.lit(True).alias("positive")).union(some.select(id_col, F.lit(False).alias("positive")))
     # MAX_POSITIVE + MAX_UNLABELLED ids at most
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(pick), id_col).select("positive", "text")
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(pick), id_col).select(F.col(id_col).alias("id"), "positive", "text")
+    rows = rows.mapInPandas(_sampled, f"id {dict(rows.dtypes)['id']}, positive boolean, words string").groupBy("id", "positive").agg(F.min("words").alias("words"))
     sets: dict[bool, list[list[str]]] = {True: [], False: []}
-    for r in rows.mapInPandas(_sampled, "positive boolean, words string").toLocalIterator():
+    for r in rows.toLocalIterator():
         sets[r.positive].append([sys.intern(w) for w in r.words.split()])
     return train(sorted(sets[True]), sorted(sets[False]), float(prior))
 
