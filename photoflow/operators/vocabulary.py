@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photoflow.operators.keywords import fold
+from photoflow.sources.shared import shared_dir
 
 ENTRY = "canonical_path string, parent_path string, flat_keyword string, synonyms array<string>, requires_review boolean, auto_apply_allowed boolean, mutually_exclusive_group string, export_flat_keyword boolean, export_hierarchical_keyword boolean"
 #: Entries that are broadcast at most; beyond it terms are joined by a shuffle.
@@ -60,7 +60,7 @@ def cycles(vocab: DataFrame) -> DataFrame:
     Steps are doubled in each round. Where every entry has one parent, what 2^k steps reach shrinks to the entries of the
     cycles, and no longer changes then. With several parents (repeated paths) all that can be reached is put together.
     """
-    base = (vocab.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photoflow-")).rstrip("/")
+    base = shared_dir(vocab.sparkSession)
     step = _written(vocab.where("parent_path is not null").selectExpr("canonical_path as a", "parent_path as b").distinct(), base)
     single = step.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     size = None

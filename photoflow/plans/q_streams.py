@@ -38,3 +38,25 @@ def str_throughput(spark, sf):
 def str_asset_state(spark, sf):
     """STR5 by its batch twin; tests run the stateful form on the same log."""
     return S.latest_state(log(spark, sf)).select("source_path", "status")
+
+
+@query(f"{_P} SELECT source_path, arg_max(status, (ts, event_id)) AS status FROM v_progress GROUP BY 1")
+def str_asset_stream(spark, sf):
+    """STR5 as a stream: the last of each asset's updates."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        updates = run_available(log(spark, sf), S.stream_asset_state, "update")
+    finally:
+        spark.conf.set(key, before)
+    return S.latest_state(updates).select("source_path", "status")
+
+
+@query(f"""{_P}, m AS (SELECT max(ts) AS last FROM v_progress)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS files, sum(duration_ms)::BIGINT AS duration_ms FROM v_progress, m
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= last - INTERVAL 2 HOUR GROUP BY 1""")
+def str_throughput_closed(spark, sf):
+    """STR4, in append mode: windows come once the watermark has passed them."""
+    out = run_available(log(spark, sf), S.throughput, "append")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "files", "duration_ms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 
 import pandas as pd
@@ -69,6 +70,31 @@ def write_documents(df: DataFrame, root: str, policy: str = "skip", path: str =
     return df.select(path, text).mapInPandas(run, f"{path} string, outcome string")
 
 
+def copy_files(plan: DataFrame, source: str = "cache_path", target: str = "target_path") -> DataFrame:
+    """Copy the bytes of rows whose ``action`` is copy, by a temporary file and a rename (SNK5); ``action`` becomes copied or failed.
+
+    Folders are below one that executors share. Rows of other actions stay as they are. A task that runs again copies the same.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            done = []
+            for act, a, b in zip(pdf["action"], pdf[source], pdf[target], strict=True):
+                if act == "copy":
+                    tmp = f"{b}.{uuid.uuid4().hex}.tmp"
+                    try:
+                        os.makedirs(os.path.dirname(b), exist_ok=True)
+                        shutil.copyfile(a, tmp)
+                        os.replace(tmp, b)
+                        act = "copied"
+                    except OSError:
+                        act = "failed"
+                done.append(act)
+            yield pdf.assign(action=done)
+
+    return plan.mapInPandas(run, plan.schema)
+
+
 def merged(base, new):
     """Keys of objects by recursion, arrays by place and at the replacement's length, all else replaced."""
     if isinstance(base, dict) and isinstance(new, dict):

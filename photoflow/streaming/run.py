@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-
-def shared_dir(spark) -> str:
-    """``spark.checkpoint.dir`` where the cluster sets it, else a temporary folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photoflow-")).rstrip("/")
+from photoflow.sources.shared import shared_dir
 
 
 def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str, files_per_trigger: int | None = None) -> DataFrame:
