@@ -7,6 +7,9 @@ resolved while compiling; no Python runs per row.
 
 from __future__ import annotations
 
+import itertools
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +58,17 @@ def lenient_long(v: Column) -> Column:
     return F.when(kind(v) == "number", F.try_variant_get(v, "$", "bigint")).when(kind(v) == "string", F.try_variant_get(v, "$", "string").try_cast("bigint"))
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Compiler:
+    """Rules as SQL text, which is parsed once: a tree of Column calls costs more to build than to run."""
+
+    NONE = f"cast(array() as {_NONE})"
+
     def __init__(self, schema: dict):
-        self.root = schema
+        self.root, self.names = schema, itertools.count()
 
     def resolve(self, ref: str):
         """A local reference, ``~1`` and ``~0`` unescaped (JSN4o)."""
@@ -68,98 +79,105 @@ class Compiler:
             at = at[part.replace("~1", "/").replace("~0", "~")]
         return at
 
-    def one(self, bad: Column, path: Column, keyword: str) -> Column:
-        return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(keyword).alias("keyword")))).otherwise(F.array().cast(_NONE))
+    def one(self, bad: str, path: str, keyword: str) -> str:
+        return f"if(coalesce({bad}, false), array(struct({path} as path, '{keyword}' as keyword)), {self.NONE})"
 
-    def ok(self, v: Column, schema) -> Column:
-        return F.size(self.violations(v, schema, F.lit("$"))) == 0
+    def ok(self, v: str, schema) -> str:
+        return f"size({self.violations(v, schema, _text('$'))}) = 0"
 
-    def violations(self, v: Column, schema, path: Column) -> Column:
+    def violations(self, v: str, schema, path: str) -> str:
         if schema is True or schema == {}:
-            return F.array().cast(_NONE)
+            return self.NONE
         if schema is False:
-            return self.one(F.lit(True), path, "false")
+            return self.one("true", path, "false")
         if "$ref" in schema:  # its siblings are ignored
             return self.violations(v, self.resolve(schema["$ref"]), path)
-        out: list[Column] = [self.violations(v, s, path) for s in schema.get("allOf", [])]
+        # what the rules read of a value is taken from it once, as the variable of a lambda
+        n = next(self.names)
+        x, y = f"x{n}", f"y{n}"
+        kind = f"if({x}.m is not null, 'object', if({x}.a is not null, 'array', if({x}.v is null, null, case schema_of_variant({x}.v) when 'STRING' then 'string' when 'BOOLEAN' then 'boolean' when 'VOID' then 'null' else 'number' end)))"
+        parts = f"array(struct({v} as v, try_variant_get({v}, '$', 'map<string,variant>') as m, try_variant_get({v}, '$', 'array<variant>') as a))"
+        return f"get(transform(transform({parts}, {x} -> struct({x}.v, {x}.m, {x}.a, {kind} as k)), {y} -> {self._rules(y, schema, path)}), 0)"
+
+    def _rules(self, x: str, schema: dict, path: str) -> str:
+        v, k = f"{x}.v", f"{x}.k"
+        out = [self.violations(v, s, path) for s in schema.get("allOf", [])]
         if "not" in schema:
             out.append(self.one(self.ok(v, schema["not"]), path, "not"))
         if "if" in schema:
-            then = self.violations(v, schema.get("then", True), path)
-            out.append(F.when(self.ok(v, schema["if"]), then).otherwise(self.violations(v, schema.get("else", True), path)))
+            then, other = self.violations(v, schema.get("then", True), path), self.violations(v, schema.get("else", True), path)
+            out.append(f"if({self.ok(v, schema['if'])}, {then}, {other})")
         if "type" in schema:
             types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-            fits = kind(v).isin([t for t in types if t != "integer"]) if set(types) - {"integer"} else F.lit(False)
+            fits = [f"{k} = '{t}'" for t in types if t != "integer"]
             if "integer" in types:
-                fits = fits | F.coalesce(number(v) == F.floor(number(v)), F.lit(False))
-            out.append(self.one(~F.coalesce(fits, F.lit(False)), path, "type"))
+                number = f"try_variant_get({v}, '$', 'double')"
+                fits.append(f"({k} = 'number' and {number} = floor({number}))")
+            out.append(self.one(f"not coalesce({' or '.join(fits)}, false)", path, "type"))
         if "enum" in schema:
-            out.append(self.one(~self._in(v, schema["enum"]), path, "enum"))
-        out += self._object(v, schema, path) + self._array(v, schema, path) + self._string(v, schema, path)
-        return F.concat(*out) if out else F.array().cast(_NONE)
+            out.append(self.one(f"not ({self._in(v, k, schema['enum'])})", path, "enum"))
+        out += self._object(x, schema, path) + self._array(x, schema, path) + self._string(f"if({k} = 'string', try_variant_get({v}, '$', 'string'), null)", schema, path)
+        return f"concat({', '.join(out)})" if out else self.NONE
 
-    def _in(self, v: Column, values: list) -> Column:
-        hit = F.lit(False)
+    def _in(self, v: str, k: str, values: list) -> str:
         texts, numbers = [x for x in values if isinstance(x, str)], [float(x) for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
         others = [x for x in values if not isinstance(x, str) and (not isinstance(x, (int, float)) or isinstance(x, bool))]
+        hits = ["false"]
         if texts:
-            hit = hit | F.coalesce(string(v).isin(texts), F.lit(False))
+            hits.append(f"coalesce({k} = 'string' and try_variant_get({v}, '$', 'string') in ({', '.join(map(_text, texts))}), false)")
         if numbers:
-            hit = hit | F.coalesce(number(v).isin(numbers), F.lit(False))
-        for x in others:
-            import json
-
-            hit = hit | F.coalesce(F.to_json(v) == json.dumps(x, sort_keys=True, separators=(",", ":")), F.lit(False))
-        return hit
-
-    def _object(self, v: Column, schema: dict, path: Column) -> list[Column]:
-        out, m = [], as_map(v)
-        is_object = kind(v) == "object"
-        names = F.map_keys(m)
-        has = lambda k: F.array_contains(names, k)
-        out += [self.one(is_object & ~has(k), path, "required") for k in schema.get("required", [])]
+            hits.append(f"coalesce({k} = 'number' and try_variant_get({v}, '$', 'double') in ({', '.join(f'{n!r}D' for n in numbers)}), false)")
+        hits += [f"coalesce(to_json({v}) = {_text(json.dumps(x, sort_keys=True, separators=(',', ':')))}, false)" for x in others]
+        return " or ".join(hits)
+
+    def _object(self, x: str, schema: dict, path: str) -> list[str]:
+        is_object, names = f"{x}.k = 'object'", f"map_keys({x}.m)"
+        has = lambda k: f"array_contains({names}, {_text(k)})"
+        out = [self.one(f"{is_object} and not {has(k)}", path, "required") for k in schema.get("required", [])]
         known = schema.get("properties", {})
         for k, s in known.items():
-            inner = self.violations(F.try_element_at(m, F.lit(k)), s, F.concat(path, F.lit(f".{k}")))
-            out.append(F.when(F.coalesce(is_object & has(k), F.lit(False)), inner).otherwise(F.array().cast(_NONE)))
+            inner = self.violations(f"try_element_at({x}.m, {_text(k)})", s, f"concat({path}, {_text('.' + k)})")
+            out.append(f"if(coalesce({is_object} and {has(k)}, false), {inner}, {self.NONE})")
         extra = schema.get("additionalProperties", True)
+        listed = f"cast(array({', '.join(map(_text, known))}) as array<string>)"
         if extra is False:
-            unknown = F.array_min(F.array_except(names, F.array(*map(F.lit, known)).cast("array<string>")))
-            out.append(self.one(is_object & unknown.isNotNull(), F.concat(path, F.lit("."), F.coalesce(unknown, F.lit(""))), "additionalProperties"))
+            unknown = f"array_min(array_except({names}, {listed}))"
+            out.append(self.one(f"{is_object} and {unknown} is not null", f"concat({path}, '.', coalesce({unknown}, ''))", "additionalProperties"))
         elif isinstance(extra, dict):
-            entries = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(list(known))) if known else F.map_entries(m)
-            each = F.flatten(F.transform(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), lambda e: self.violations(e["value"], extra, F.concat(path, F.lit("."), e["key"]))))
-            out.append(F.when(F.coalesce(is_object, F.lit(False)), each).otherwise(F.array().cast(_NONE)))
+            n = next(self.names)
+            inner = self.violations(f"try_element_at({x}.m, k{n})", extra, f"concat({path}, '.', k{n})")
+            out.append(f"if(coalesce({is_object}, false), flatten(transform(array_sort(array_except({names}, {listed})), k{n} -> {inner})), {self.NONE})")
         return out
 
-    def _array(self, v: Column, schema: dict, path: Column) -> list[Column]:
-        out, a = [], as_array(v)
-        is_array = kind(v) == "array"
+    def _array(self, x: str, schema: dict, path: str) -> list[str]:
+        out, is_array = [], f"{x}.k = 'array'"
         if "minItems" in schema:
-            out.append(self.one(is_array & (F.size(a) < schema["minItems"]), path, "minItems"))
+            out.append(self.one(f"{is_array} and size({x}.a) < {schema['minItems']}", path, "minItems"))
         if "maxItems" in schema:
-            out.append(self.one(is_array & (F.size(a) > schema["maxItems"]), path, "maxItems"))
+            out.append(self.one(f"{is_array} and size({x}.a) > {schema['maxItems']}", path, "maxItems"))
+        n = next(self.names)
         if "contains" in schema:
-            out.append(self.one(is_array & ~F.exists(a, lambda x: self.ok(x, schema["contains"])), path, "contains"))
+            out.append(self.one(f"{is_array} and not exists({x}.a, e{n} -> {self.ok(f'e{n}', schema['contains'])})", path, "contains"))
         if "items" in schema:
-            each = F.flatten(F.transform(a, lambda x, i: self.violations(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-            out.append(F.when(F.coalesce(is_array, F.lit(False)), each).otherwise(F.array().cast(_NONE)))
+            each = self.violations(f"e{n}", schema["items"], f"concat({path}, '[', cast(i{n} as string), ']')")
+            out.append(f"if(coalesce({is_array}, false), flatten(transform({x}.a, (e{n}, i{n}) -> {each})), {self.NONE})")
         return out
 
-    def _string(self, v: Column, schema: dict, path: Column) -> list[Column]:
-        out, s = [], string(v)
+    def _string(self, s: str, schema: dict, path: str) -> list[str]:
+        out = []
         if schema.get("minLength"):
-            out.append(self.one(F.length(s) < schema["minLength"], path, "minLength"))
+            out.append(self.one(f"length({s}) < {schema['minLength']}", path, "minLength"))
         if "maxLength" in schema:
-            out.append(self.one(F.length(s) > schema["maxLength"], path, "maxLength"))
+            out.append(self.one(f"length({s}) > {schema['maxLength']}", path, "maxLength"))
         if "pattern" in schema:
-            out.append(self.one(~s.rlike(schema["pattern"]), path, "pattern"))
+            out.append(self.one(f"not rlike({s}, {_text(schema['pattern'])})", path, "pattern"))
         return out
 
 
 def schema_violations(v: Column, schema: dict) -> Column:
     """All violations of a VARIANT, in the order of a validator that stops at the first (JSN4); lengths are in code points."""
-    return Compiler(schema).violations(v, schema, F.lit("$"))
+    rules = Compiler(schema).violations("value", schema, _text("$"))
+    return F.get(F.call_function("transform", F.array(v), F.expr(f"value -> {rules}")), F.lit(0))
 
 
 def first_violation(v: Column, schema: dict) -> Column:
@@ -216,7 +234,7 @@ def violations_by_role(v: Column, role: Column, schemas: dict[str, dict] | None
 
 def classify_response(text: Column, schema: dict) -> Column:
     """``status`` (valid, schema_violation, invalid_json), ``error_code`` and the parsed value, kept on violations (JSN3)."""
-    v = parse_response(text)
-    status = F.when(v.isNull(), "invalid_json").when(matches_schema(v, schema), "valid").otherwise("schema_violation")
-    code = F.when(v.isNull(), "E_MODEL_INVALID_JSON").when(matches_schema(v, schema), None).otherwise("E_MODEL_SCHEMA_VIOLATION")
-    return F.struct(status.alias("status"), code.alias("error_code"), v.alias("parsed"))
+    parsed = F.transform(F.array(parse_response(text)), lambda v: F.struct(v.alias("v"), F.when(v.isNotNull(), matches_schema(v, schema)).alias("ok")))
+    status = lambda x: F.when(x["v"].isNull(), "invalid_json").when(x["ok"], "valid").otherwise("schema_violation").alias("status")
+    code = lambda x: F.when(x["v"].isNull(), "E_MODEL_INVALID_JSON").when(~x["ok"], "E_MODEL_SCHEMA_VIOLATION").alias("error_code")
+    return F.get(F.transform(parsed, lambda x: F.struct(status(x), code(x), x["v"].alias("parsed"))), F.lit(0))

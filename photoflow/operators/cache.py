@@ -38,10 +38,16 @@ def lru_evict(entries: DataFrame, cap: int, protected: DataFrame | None = None)
     else:
         df = df.withColumn("_keep", F.lit(None).cast("boolean"))
     df = df.withColumn("_keep", F.coalesce("_keep", F.lit(False)))
-    older = Window.partitionBy("cache_id").orderBy("last_accessed_at", "file_name").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(~F.col("_keep"), F.col("byte_count"))).over(older), F.lit(0))
-    total = F.sum("byte_count").over(Window.partitionBy("cache_id"))
-    return df.withColumn("evict", ~F.col("_keep") & (total - gone > cap)).drop("_keep")
+    # a large cache is summed by hours first, so that a task sorts the entries of one hour
+    free = F.coalesce(F.when(~F.col("_keep"), F.col("byte_count")), F.lit(0))
+    df = df.withColumn("_hour", F.date_trunc("hour", F.col("last_accessed_at").cast("timestamp")))
+    hours = df.groupBy("cache_id", "_hour").agg(F.sum(free).alias("_free"), F.sum("byte_count").alias("_all"))
+    older = Window.partitionBy("cache_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("cache_id", "_hour", F.coalesce(F.sum("_free").over(older), F.lit(0)).alias("_before"), F.sum("_all").over(Window.partitionBy("cache_id")).alias("_total"))
+    within = Window.partitionBy("cache_id", "_hour").orderBy("last_accessed_at", "file_name").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(hours.withColumnRenamed("cache_id", "_cache").withColumnRenamed("_hour", "_at"), F.col("cache_id").eqNullSafe(F.col("_cache")) & F.col("_hour").eqNullSafe(F.col("_at")))
+    gone = F.col("_before") + F.coalesce(F.sum(free).over(within), F.lit(0))
+    return df.withColumn("evict", ~F.col("_keep") & (F.col("_total") - gone > cap)).drop("_keep", "_hour", "_cache", "_at", "_before", "_total")
 
 
 def purge_candidates(files: DataFrame, entries: DataFrame) -> DataFrame:

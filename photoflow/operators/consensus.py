@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photoflow.functions import paths as P
-from photoflow.operators.keywords import BANDS
+from photoflow.operators.keywords import BANDS, fold
 
 
 def expand_ancestors(obs: DataFrame, path: str = "canonical_path") -> DataFrame:
@@ -59,8 +59,12 @@ def propagate(stats: DataFrame, vocab: DataFrame, threshold: float = 0.6) -> Dat
 
 
 def resolve_subject(subjects: DataFrame, canonical: DataFrame, allow_unknown: bool = False) -> DataFrame:
-    """``subjects(session_id, subject)`` with the entry that ``canonical(term, canonical_path)`` names: known, unnormalised or rejected (CNS8)."""
-    df = subjects.join(canonical.select(F.lower("term").alias("_k"), "canonical_path").dropDuplicates(["_k"]), F.lower("subject") == F.col("_k"), "left").drop("_k")
+    """``subjects(session_id, subject)`` with the entry that ``canonical(term, canonical_path)`` names: known, unnormalised or rejected (CNS8).
+
+    Names are compared folded; of several entries of a name the least path is taken.
+    """
+    names = canonical.groupBy(fold(F.col("term")).alias("_k")).agg(F.min("canonical_path").alias("canonical_path"))
+    df = subjects.join(names, fold(F.col("subject")) == F.col("_k"), "left").drop("_k")
     return df.withColumn("outcome", F.when(F.col("canonical_path").isNotNull(), "known").otherwise("unnormalised" if allow_unknown else "rejected"))
 
 

@@ -93,8 +93,8 @@ def resolve_pairs(cands: DataFrame, scope: str = "union") -> DataFrame:
 
 
 def change_plan(cands: DataFrame, existing: DataFrame, path: str = "target_path") -> DataFrame:
-    """``action`` per path and folded term: add, keep what is there, skip what is both (KEY9)."""
-    a = cands.select(path, F.lower("term").alias("folded"), F.col("term").alias("new_term")).dropDuplicates([path, "folded"])
+    """``action`` per path and folded term: add, keep what is there, skip what is both (KEY9). Of several spellings the least is taken."""
+    a = cands.groupBy(path, F.lower("term").alias("folded")).agg(F.min("term").alias("new_term"))
     b = existing.groupBy(path, F.lower("term").alias("folded")).agg(F.min("term").alias("old_term"))
     df = a.join(b, [path, "folded"], "full")
     action = F.when(F.col("old_term").isNull(), "add").when(F.col("new_term").isNull(), "keep").otherwise("skip")

@@ -80,5 +80,5 @@ def lookup_recorded(inputs: DataFrame, recorded: DataFrame) -> DataFrame:
     """
     exact = recorded.groupBy("role", "sha").agg(F.min_by("response", "position").alias("exact"))
     by_role = recorded.groupBy("role").agg(F.min_by("response", "position").alias("fallback"))
-    df = inputs.join(exact, ["role", "sha"], "left").join(by_role, "role", "left")
+    df = inputs.join(exact, ["role", "sha"], "left").join(F.broadcast(by_role), "role", "left")  # a row per role
     return df.select("input_id", "role", "sha", F.coalesce("exact", "fallback").alias("response"), F.when(F.coalesce("exact", "fallback").isNull(), "E_MODEL_NO_RECORDED_RESULT").alias("error_code"))
