@@ -33,7 +33,7 @@ VERIFY_FRAGMENTS = 8
 #: Rows of ids or of buckets that are broadcast at most; beyond it the same joins are shuffles.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose grams a task handles at a time, and grams of a group that counts them: some so many, and LEAST_GROUPS groups.
-SOME_BYTES, SOME_GRAMS, LEAST_GROUPS = 8_000_000, 2_000_000, 512
+SOME_BYTES, SOME_GRAMS, LEAST_GROUPS = 4_000_000, 2_000_000, 512
 
 _U = np.uint64
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)

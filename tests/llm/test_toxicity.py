@@ -43,3 +43,13 @@ def test_odd_rows(spark):
         by = {r.doc_id: r.score for r in got}
         assert by[0] == by[1] == by[2] and by[4] == by[5]
     assert scored(docs.limit(0), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_repeated_rows_of_one_id_count_once(spark, monkeypatch):
+    from photoflow.llm import toxicity
+
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda pos, unl, prior, **o: seen.update(pos=len(pos), unl=len(unl)) or train(pos, unl, prior, **o))
+    docs = spark.createDataFrame([(4, f"bad words {k % 7}", "s", 0) for k in range(5_000)] + [(k, "fine words", "s", 0) for k in range(100, 140)], DOCS)
+    fit(docs, spark.createDataFrame([(4, 1)] * 50, LABELS))
+    assert seen == {"pos": 1, "unl": 1 + sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(100, 140))}

@@ -61,3 +61,10 @@ def test_long_chain_star_and_empty(spark, rules):
     assert {r.alias_verdict for r in got if r.page_id >= 100} == {"allow"}
     assert judged(spark.createDataFrame([], SCHEMA), rules).count() == 0
     assert judged(spark.createDataFrame(chain[:1], SCHEMA), rules.limit(0)).first().verdict == "allow"
+
+
+def test_host_of_very_many_labels(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    rows = [(1, "http://" + "a." * 100_000 + "com/en/x", ""), (2, "http://com/en/", ""), (3, "http://xcom/en/", "")]
+    got = {r.page_id: (r.rule, r.verdict) for r in judged(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: ("com/en/", "block"), 2: ("com/en/", "block"), 3: (None, "allow")}
