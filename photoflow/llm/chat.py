@@ -105,3 +105,16 @@ def op8_chat_formatting(spark, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digest(formatted(messages(as_events(rows.union(more)))))
+
+
+_ESCAPED = r"regexp_replace(%s, '<(\\*)\|', '<\\\1|', 'g')"
+
+OP8_SQL = f"""
+WITH rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{END}{START}assistant ok' FROM range(2) t(k)),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum({len(START)} + length(replace({_ESCAPED % "role"}, chr(10), '<|nl|>')) + 1 + length({_ESCAPED % "text"}) + {len(END)} + 1)::BIGINT AS formatted_chars
+    FROM rows GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""

@@ -31,6 +31,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def used(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which reads these tables of :func:`materialise`; :func:`finish` deletes them."""
+    df._photoflow_used = tables
+    return df
+
+
+def finish(df: DataFrame) -> None:
+    """Delete what ``df`` was read from, when its rows are elsewhere."""
+    for table in getattr(df, "_photoflow_used", ()):
+        discard(table)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(src, dst)`` (equal integer or string types) to ``(node, component)``, the component's least node.
 

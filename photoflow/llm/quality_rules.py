@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photoflow.llm.common import WS, discard, materialise
+from photoflow.llm.common import WS, discard, materialise, used
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -161,11 +161,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with their own columns; texts aren't shuffled."""
-    stats = materialise(with_stats(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.col("row.id").alias(id_col), *STATS), "stats")
-    rules = fit(stats, labels, id_col)
-    discard(stats)
-    return with_stats(docs, text_col).where(~F.expr(BASE_FAILED) & rules.kept()).select("row.*")
+    """The rows of ``docs`` that :func:`judge` keeps, with their own columns; texts aren't shuffled.
+
+    Rows and statistics are one table in the shared folder, so that these are computed once; the result reads it.
+    """
+    stats = materialise(with_stats(docs, text_col), "stats")
+    rules = fit(stats.select(F.col(f"row.{id_col}").alias(id_col), *STATS), labels, id_col)
+    return used(stats.where(~F.expr(BASE_FAILED) & rules.kept()).select("row.*"), stats)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from photoflow.llm.chat import op8_chat_formatting
+from photoflow.llm.chat import OP8_SQL, op8_chat_formatting
 from photoflow.llm.image_match import op7_image_match
 from photoflow.llm.license_scan import op6_license_scan
 from photoflow.llm.line_dedup import op3_line_dedup
-from photoflow.llm.ngram_join import op10_ngram_jaccard
+from photoflow.llm.ngram_join import OP10_SQL, op10_ngram_jaccard
 from photoflow.llm.packing import op9_best_fit_packing
 from photoflow.llm.piece_lattice import op4_sentencepiece
 from photoflow.llm.quality_rules import op5_quality_rules
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}
