@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Candidate blocks, lines near words that licences use, are compressed with each template as a raw zstandard dictionary. The
+Candidate blocks, what is around words that licences use as far as a wording can reach, are compressed with each template as a raw zstandard dictionary. The
 template that saves the most against no dictionary is the likely source. Each template is also aligned to its places in the
 block, and is confirmed at each by the exact differences in wording and by what its dictionary saves there. Rows stay where
 they are; nothing is shuffled.
@@ -9,6 +9,7 @@ they are; nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -32,13 +33,20 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-_MARK = re.compile(r"licen[cs]e|licensing|copyright|redistribut|creative commons|\bCC[ -]BY\b|permission is hereby|all rights reserved|spdx", re.IGNORECASE)
+_MARK = re.compile(r"licen[cs]e|licensing|copyright|redistribut|creative commons|\bCC[ -]BY\b|permission is hereby|all rights reserved|public domain|spdx", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
-#: Lines between two marked lines of one block, at most.
-GAP = 3
-#: Code points around a mark that are looked at in a longer line.
-REACH = 600
+#: How far from a mark is looked, against the length of the longest wording.
+REACH = 1.5
 #: At its place a template saves this share of its own compressed size at least, and lacks or changes this share of the template's words at most, and no number.
 MIN_SAVED, MAX_CHANGED = 0.3, 0.1
 
@@ -47,33 +55,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, wording) of each candidate block of a whole text."""
-    if not text or not _MARK.search(text):
-        return
-    lines = text.split("\n")
-    marked = [k for k, line in enumerate(lines) if _MARK.search(line)]
-    first = last = marked[0]
-    for k in [*marked[1:], None]:
-        if k is not None and k - last <= GAP and all(len(x) <= 2 * REACH for x in lines[last : k + 1]):
-            last = k
-            continue
-        if len(lines[first]) <= 2 * REACH:
-            # a wrapped notice runs on to the end of its paragraph
-            end = last
-            while end + 1 < len(lines) and end - last < 2 * GAP and lines[end + 1].strip() and len(lines[end + 1]) <= 2 * REACH:
-                end += 1
-            yield first, last, "\n".join(lines[first : end + 1])
-        else:
-            line, start, at = lines[first], None, 0  # windows that meet are one
-            for m in _MARK.finditer(line):
-                if start is not None and m.start() - REACH > at:
-                    yield first, last, line[start:at]
-                    start = None
-                start = max(0, m.start() - REACH) if start is None else start
-                at = m.end() + REACH
-            yield first, last, line[start:at]
-        first = last = k
+def blocks(text: str | None, reach: int) -> Iterator[tuple[int, int]]:
+    """Where the candidate blocks of a whole text start and end: all that is within ``reach`` of a mark, cut between words."""
+    start = at = None
+    for m in _MARK.finditer(text or ""):
+        if start is not None and m.start() - reach > at:
+            yield start, at
+            start = None
+        if start is None:
+            start = max(0, m.start() - reach)
+            while start and not text[start - 1].isspace():
+                start -= 1
+        at = max(at or 0, min(len(text), m.end() + reach))
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    if start is not None:
+        yield start, at
 
 
 class Scanner:
@@ -84,6 +81,7 @@ class Scanner:
         self.frame = len(self.plain.compress(b""))
         self.sizes = [self.size(self.plain, " ".join(t.lower().split())) for _, t in templates]
         self.places = [Counter(t) for _, _, t in self.templates]
+        self.reach = int(REACH * max((len(t) for _, t in templates), default=0))
 
     def size(self, by: zstandard.ZstdCompressor, text: str) -> int:
         return len(by.compress(text.encode())) - self.frame
@@ -117,7 +115,7 @@ class Scanner:
                 yield max(0, e - n + 1 - room), min(len(own), e + 1 + room)
 
     def confirmed(self, block: str) -> list[tuple]:
-        """(from, to, template, saved, differences) of the templates that are in a block, each at its place, without overlaps."""
+        """(from, to, template, saved, differences) of the templates that are in a block, each at its place in characters, without overlaps."""
         found = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         own = [block[i:j] for i, j in found]
         hits = []
@@ -139,21 +137,25 @@ class Scanner:
         for _, _, i, j, k, saved, text in sorted(set(hits)):  # the fewest differences, then a longer wording before one within it
             if all(j <= o[0] or o[1] <= i for o in out):
                 out.append((i, j, k, saved, text))
-        return sorted(out)
+        return [(found[i][0], found[j - 1][1], *rest) for i, j, *rest in sorted(out)]
 
     def scan(self, text: str | None) -> Iterator[tuple]:
-        for first, last, block in blocks(text):
-            sure = self.confirmed(block.lower())
+        breaks = [m.start() for m in re.finditer("\n", text)] if text and _MARK.search(text) else []
+        line = lambda at: bisect_right(breaks, at - 1)
+        for start, end in blocks(text, self.reach):
+            block = text[start:end]
+            low = block.lower()
+            sure = self.confirmed(low if len(low) == len(block) else "".join(c.lower() if len(c.lower()) == 1 else c for c in block))
             if sure:
-                for _, _, k, saved, differences in sure:
-                    yield first, last, self.templates[k][0], saved, True, differences
+                for i, j, k, saved, differences in sure:
+                    yield line(start + i), line(start + j), self.templates[k][0], saved, True, differences
                 continue
-            data = " ".join(block.lower().split())
+            data = " ".join(low.split())
             alone = self.size(self.plain, data)
             saved = [1 - self.size(c, data) / max(1, alone) for c in self.with_]
             k = min(range(len(saved)), key=lambda k: (-saved[k], k))
             lacks, extra = self.differences(words(block), self.templates[k][2])
-            yield first, last, self.templates[k][0], round(saved[k], 6), False, " ".join([f"-{w}" for w in lacks] + [f"+{w}" for w in extra])
+            yield line(start), line(end), self.templates[k][0], round(saved[k], 6), False, " ".join([f"-{w}" for w in lacks] + [f"+{w}" for w in extra])
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -165,7 +167,9 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_
     license: the template's; saved: what its dictionary saves at its place, as a share of the template's own compressed
     size, or in a block without any the share of the block's; confirmed: see MIN_SAVED and MAX_CHANGED; differences:
     ``-word`` it lacks and ``+word`` it has instead. Null and empty texts have no blocks; repeated rows are scanned each.
-    Of templates at one place the one with fewer differences is taken, then the longer.
+    Of templates at one place the one with fewer differences is taken, then the longer. The lines are those of the place,
+    or of the block. A block reaches REACH times the longest template to either side of each mark, across line breaks, so
+    that it holds whatever wording the mark is in; blocks that meet are one, however long.
     """
     key = tuple(templates or TEMPLATES)
 

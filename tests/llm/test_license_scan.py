@@ -46,3 +46,31 @@ def test_each_of_adjacent_notices_is_a_row():
     scan = Scanner(TEMPLATES).scan
     for name, text in TEMPLATES:
         assert [r[2] for r in scan(f"{text} {text}") if r[4]] == [name] * 2, text
+
+
+def test_places_are_those_of_a_search_over_all_words():
+    """Exact wordings, wrapped at random widths into lines of a long text, against a plain search for runs of words."""
+    import random
+
+    from photoflow.llm.license_scan import Scanner, words
+
+    r = random.Random(4)
+    scanner = Scanner(TEMPLATES)
+    for _ in range(12):
+        own, want = [], []
+        for _ in range(3):
+            own += [r.choice("river stone winter field miller wolf".split()) for _ in range(r.randint(0, 900))]
+            name, text = r.choice(TEMPLATES)
+            want.append((len(words(" ".join(own))), name, len(words(text))))
+            own += text.split()
+        width, lines, line = r.randint(5, 40), [], []
+        for w in own:
+            line.append(w)
+            if len(line) == width:
+                lines.append(" ".join(line))
+                line = []
+        text = "\n".join([*lines, " ".join(line)])
+        got = [x for x in scanner.scan(text) if x[4]]
+        assert [x[2] for x in got] == [name for _, name, _ in want] and all(x[5] == "" for x in got)
+        before = [len(words("\n".join(text.split("\n")[: x[0]]))) for x in got]
+        assert all(b <= at < b + width * 4 for b, (at, _, _) in zip(before, want, strict=True))
