@@ -44,6 +44,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 _MARK = re.compile(r"licen[cs]e|licensing|copyright|redistribut|creative commons|\bCC[ -]BY\b|permission is hereby|all rights reserved|public domain|spdx", re.IGNORECASE)
+#: One of these, in small letters, is in whatever a mark matches.
+_HINTS = ("licen", "copyright", "redistribut", "creative commons", "cc by", "cc-by", "permission is hereby", "rights reserved", "public domain", "spdx")
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 #: How far from a mark is looked, against the length of the longest wording.
 REACH = 1.5
@@ -57,8 +59,11 @@ def words(text: str) -> list[str]:
 
 def blocks(text: str | None, reach: int) -> Iterator[tuple[int, int]]:
     """Where the candidate blocks of a whole text start and end: all that is within ``reach`` of a mark, cut between words."""
+    low = text.casefold() if text else ""
+    if not any(x in low for x in _HINTS):
+        return
     start = at = None
-    for m in _MARK.finditer(text or ""):
+    for m in _MARK.finditer(text):
         if start is not None and m.start() - reach > at:
             yield start, at
             start = None
@@ -140,9 +145,10 @@ class Scanner:
         return [(found[i][0], found[j - 1][1], *rest) for i, j, *rest in sorted(out)]
 
     def scan(self, text: str | None) -> Iterator[tuple]:
-        breaks = [m.start() for m in re.finditer("\n", text)] if text and _MARK.search(text) else []
+        spans = list(blocks(text, self.reach))
+        breaks = [m.start() for m in re.finditer("\n", text)] if spans else []
         line = lambda at: bisect_right(breaks, at - 1)
-        for start, end in blocks(text, self.reach):
+        for start, end in spans:
             block = text[start:end]
             low = block.lower()
             sure = self.confirmed(low if len(low) == len(block) else "".join(c.lower() if len(c.lower()) == 1 else c for c in block))
