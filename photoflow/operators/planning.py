@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.functions import paths as P
+from photoflow.sources.shared import shared_dir
 
 ROLES = ["whole_image", "subject_isolated"]
 MODES = {"whole": ROLES[:1], "subject": ROLES[1:], "both": ROLES}
@@ -117,3 +120,20 @@ def copy_plan(artifacts: DataFrame, targets: DataFrame, policy: str = "skip") ->
     """
     act = F.when(F.col("cache_path").isNull(), "missing").when(~F.col("exists"), "copy").otherwise({"skip": "skip", "overwrite": "copy", "fail": "fail"}[policy])
     return targets.join(artifacts.select("artifact_key", "cache_path"), "artifact_key", "left").withColumn("action", act)
+
+
+def places(paths: DataFrame, path: str = "relative_path") -> DataFrame:
+    """``paths`` with ``place`` from 1 in case-folded order (FLT7).
+
+    Rows are dealt out by ranges of the whole folded path, so a folder that all share doesn't matter; the ranges are
+    written once with their numbers, and each range's places follow those of the ranges before it.
+    """
+    low, own = P.path_order(F.col(path))
+    spark = paths.sparkSession
+    to = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    paths.repartitionByRange(low, own).withColumn("_range", F.spark_partition_id()).write.parquet(to)
+    dealt = spark.read.schema(paths.withColumn("_range", F.lit(0)).schema).parquet(to)
+    n = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = n.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row per range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(low, own))
+    return dealt.withColumn("_own", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")

@@ -1,6 +1,5 @@
 """Inventory, identity and planning queries (SRC, FLT, IDN, PLN, SNK)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photoflow.functions import identity as I
@@ -53,13 +52,8 @@ def flt_unsupported(spark, sf):
 
 @query(f"{_INV}, d AS (SELECT DISTINCT relative_path FROM v_inventory) SELECT relative_path, CAST(row_number() OVER (ORDER BY lower(relative_path), relative_path) AS BIGINT) AS place FROM d")
 def flt_order(spark, sf):
-    """FLT7: the place in case-folded order. Places within a prefix, and counts of the prefixes before it."""
-    low, path = P.path_order(F.col("relative_path"))
-    d = inventory(spark, sf).select("relative_path").distinct().withColumn("prefix", F.substring(low, 1, 10))
-    n = d.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = n.select("prefix", (F.sum("n").over(Window.orderBy("prefix")) - F.col("n")).alias("before"))  # a row per prefix
-    own = F.row_number().over(Window.partitionBy("prefix").orderBy(low, path))
-    return d.withColumn("own", own).join(before, "prefix").select("relative_path", (F.col("own") + F.col("before")).alias("place"))
+    """FLT7: the place in case-folded order."""
+    return L.places(inventory(spark, sf).select("relative_path").distinct(), "relative_path")
 
 
 @query(f"{_PLAN}, r AS (SELECT doc_id, unnest(['whole_image', 'subject_isolated']) AS role, doc_id % 3 AS position FROM img), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY position) AS n FROM r)"

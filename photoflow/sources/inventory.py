@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from photoflow.functions import paths as P
 
 
+#: Folders that the driver lists to deal out the tree; each task walks what is below its own.
+FOLDERS = 256
+#: Files of a listed folder that a task looks at: beyond that the folder's names are dealt out to several.
+FILES = 20_000
+
+
 class Folder(InputPartition):
-    def __init__(self, path: str, names: list[str] | None = None):
-        self.path, self.names = path, names
+    """A folder's own files, those whose names' checksums leave ``part`` by ``parts``; or with ``deep`` all that is below it."""
+
+    def __init__(self, path: str, names: list[str] | None = None, deep: bool = False, part: int = 0, parts: int = 1):
+        self.path, self.names, self.deep, self.part, self.parts = path, names, deep, part, parts
 
 
 def _hidden(name: str) -> bool:
@@ -28,22 +37,38 @@ class InventoryReader(DataSourceReader):
     def partitions(self) -> list[Folder]:
         if os.path.isfile(self.root):
             return [Folder(os.path.dirname(self.root), [os.path.basename(self.root)])]
-        found = [Folder(self.root)]
-        if self.recursive:
-            for top, dirs, _ in os.walk(self.root):
-                dirs[:] = sorted(d for d in dirs if not _hidden(d))  # a hidden folder isn't entered
-                found += [Folder(os.path.join(top, d)) for d in dirs]
-        return found
+        listed, left = [], [self.root]
+        while left and len(listed) + len(left) <= FOLDERS:  # level by level, until there are enough to deal out
+            path = left.pop(0)
+            try:
+                entries = list(os.scandir(path))
+            except OSError:
+                entries = []  # the task that looks at it says why
+            parts = 1 + len(entries) // FILES
+            listed += [Folder(path, part=k, parts=parts) for k in range(parts)]
+            if self.recursive:
+                left += sorted(e.path for e in entries if not _hidden(e.name) and e.is_dir(follow_symlinks=False))  # a hidden folder isn't entered
+        return listed + [Folder(path, deep=True) for path in left]
 
     def read(self, partition: Folder):
         base = self.root if os.path.isdir(self.root) else os.path.dirname(self.root)
+        if partition.deep:
+            failed: list[OSError] = []
+            for top, dirs, names in os.walk(partition.path, onerror=failed.append):
+                dirs[:] = sorted(d for d in dirs if not _hidden(d))
+                yield from self.files(top, sorted(names), base)
+            yield from ((e.filename, os.path.relpath(e.filename, base), None, None, str(e)) for e in failed)
+            return
         try:
-            names = partition.names or sorted(os.listdir(partition.path))
+            names = partition.names or sorted(n for n in os.listdir(partition.path) if zlib.crc32(os.fsencode(n)) % partition.parts == partition.part)
         except OSError as e:
             yield (partition.path, os.path.relpath(partition.path, base), None, None, str(e))
             return
+        yield from self.files(partition.path, names, base)
+
+    def files(self, folder: str, names: list[str], base: str):
         for name in names:
-            path = os.path.join(partition.path, name)
+            path = os.path.join(folder, name)
             try:
                 if not os.path.isfile(path):
                     continue
@@ -70,7 +95,8 @@ class Inventory(DataSource):
 def scan_inventory(spark: SparkSession, root: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(files, errors)`` of a folder, one level or all, or of one file; ignored names are left out (SRC1, SRC2, SRC4).
 
-    A missing root raises FileNotFoundError before anything runs (SRC3). A partition is a folder.
+    A missing root raises FileNotFoundError before anything runs (SRC3). The driver lists FOLDERS folders at most; tasks walk
+    what is below them.
     """
     if not os.path.exists(root):
         raise FileNotFoundError(f"scan root does not exist: {root}")
