@@ -9,6 +9,7 @@ from photoflow.llm.packing import op9_best_fit_packing
 from photoflow.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from photoflow.llm.piece_lattice import op4_sentencepiece
 from photoflow.llm.quality_rules import op5_quality_rules
+from photoflow.llm.ranked_search import OP11_SQL, op11_ranked_search
 from photoflow.llm.toxicity import op2_toxicity
 from photoflow.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ranked_search": op11_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_ranked_search": OP11_SQL, "op13_periodic_runs": OP13_SQL}
