@@ -12,6 +12,7 @@ from photoflow.llm.quality_rules import op5_quality_rules
 from photoflow.llm.ranked_search import OP11_SQL, op11_ranked_search
 from photoflow.llm.toxicity import op2_toxicity
 from photoflow.llm.url_filter import OP1_SQL, op1_url_filter
+from photoflow.llm.warc import OP12_SQL, op12_warc_revisits
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -25,7 +26,8 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_ranked_search": op11_ranked_search,
+    "op12_warc_revisits": op12_warc_revisits,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_ranked_search": OP11_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_warc_revisits": OP12_SQL, "op13_periodic_runs": OP13_SQL}
