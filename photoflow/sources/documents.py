@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photoflow.functions import json_schema as J
+from photoflow.sources.tree_sink import write_documents  # noqa: F401
 
 PROGRESS = "timestamp timestamp, source_path string, relative_path string, sidecar_path string, status string, errors array<struct<code:string,stage:string,message:string,recoverable:boolean>>, duration_ms bigint"
 
@@ -42,34 +43,6 @@ def canonical_json(doc: Column) -> Column:
     return F.to_json(doc)
 
 
-def write_documents(df: DataFrame, root: str, policy: str = "skip", path: str = "sidecar_path", text: str = "json") -> DataFrame:
-    """Write a file per row below ``root`` on a folder that executors share, by a temporary file and a rename (SNK1).
-
-    Returns ``path, outcome``: written, skipped_existing or failed, by the policy for files that exist. It is a plan; the
-    files are written when it runs, and a task that runs again writes the same.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, t in zip(pdf[path], pdf[text], strict=True):
-                out = os.path.join(root, p)
-                if os.path.exists(out) and policy != "overwrite":
-                    with open(out, encoding="utf-8") as f:
-                        same = f.read() == t
-                    rows.append((p, "written" if same and policy == "fail" else {"skip": "skipped_existing", "fail": "failed"}[policy]))
-                    continue
-                os.makedirs(os.path.dirname(out), exist_ok=True)
-                tmp = f"{out}.{uuid.uuid4().hex}.tmp"
-                with open(tmp, "w", encoding="utf-8") as f:
-                    f.write(t)
-                os.replace(tmp, out)
-                rows.append((p, "written"))
-            yield pd.DataFrame(rows, columns=[path, "outcome"])
-
-    return df.select(path, text).mapInPandas(run, f"{path} string, outcome string")
-
-
 def copy_files(plan: DataFrame, source: str = "cache_path", target: str = "target_path") -> DataFrame:
     """Copy the bytes of rows whose ``action`` is copy, by a temporary file and a rename (SNK5); ``action`` becomes copied or failed.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,18 @@ def mounted_dir(spark: SparkSession) -> str:
     if not re.match(r"(file:)?/", found):
         raise ValueError(f"plain files need a folder that is mounted everywhere, not {found}")
     return re.sub(r"^file:/*", "/", found)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what ran once is read, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._photoflow_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing lazily reads any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._photoflow_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
