@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photoflow.sources.shared import written
+
 STATUSES = ["written", "skipped_existing", "dry_run", "failed"]
 EXPORT_STATUSES = ["exported", "skipped", "partial", "failed"]
 
@@ -32,18 +36,65 @@ def export_summary(records: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def upper_median(c: Column) -> Column:
-    """The element at half the count of the sorted values; of an even count the upper middle one; null of none (AGG5)."""
+    """The element at half the count of the sorted values; of an even count the upper middle one; null of none (AGG5).
+
+    As an aggregate, which keeps each distinct value of a group in one buffer: for groups that are known to be small. For
+    others there is :func:`upper_medians`.
+    """
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c if isinstance(c, str) else c._jc.toString()} DESC)")
 
 
+#: Bits of a value that a pass settles; a group has 2**BITS counts at most.
+BITS = 16
+#: Groups whose state is broadcast at most.
+BROADCAST_GROUPS = 100_000
+
+
+def upper_medians(df: DataFrame, by: list[str], values: dict[str, str], bits: int = BITS) -> DataFrame:
+    """``by`` and, for each ``name: column`` of ``values``, the group's upper median of an integer column (AGG5), by radix selection.
+
+    All groups and columns go together. Their values' leading bits are counted (before the shuffle too), a running sum over
+    a group's counts says where its median lies, and the next pass looks at the values that begin so; bits that all values
+    of a group share take no pass. No task holds more than ``2**bits`` counts of a group, however many values it has. Null
+    values don't count; a group without values has nulls. Null group keys are a group.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    own = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[F.col(c).cast("long").alias(f"_v{i}") for i, c in enumerate(values.values())])
+    each = own.select(*keys, F.posexplode(F.array(*[f"_v{i}" for i in range(len(values))])).alias("_c", "_v"))
+    # the order of longs is that of these bits, read without a sign
+    each = each.where("_v is not null").select(*keys, "_c", F.col("_v").bitwiseXOR(F.lit(-(2**63))).alias("_b"))
+    g = [*keys, "_c"]
+    ends = written(each.groupBy(*g).agg(F.min(F.col("_b").bitwiseXOR(F.lit(-(2**63)))).alias("lo"), F.max(F.col("_b").bitwiseXOR(F.lit(-(2**63)))).alias("hi"), F.count("*").alias("n")), "medians")
+    top = ends.agg(F.count("*").alias("groups"), F.max(F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi"))))).alias("bits")).first()
+    few, at = top["groups"] <= BROADCAST_GROUPS, 64 if top["groups"] == 0 else int(top["bits"])
+    state = ends.select(*g, F.when(F.lit(at < 64), F.expr(f"shiftrightunsigned(lo ^ {-(2**63)}L, {at % 64})")).otherwise(F.lit(0).cast("long")).alias("head"), F.expr("n div 2").alias("rank"))
+    while at and top["groups"]:
+        low = max(0, at - bits)
+        now = state.select(*[F.col(c).alias(f"s{c}") for c in g], "head", "rank")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in g])
+        begins = F.expr(f"shiftrightunsigned(_b, {at})" if at < 64 else "0L") == F.col("head")
+        counts = each.join(F.broadcast(now) if few else now, same & begins).groupBy(*g, "head", "rank", F.expr(f"shiftrightunsigned(_b, {low}) & {2 ** (at - low) - 1}L").alias("digit")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*g).orderBy("digit"))
+        found = counts.withColumn("upto", upto).where("rank < upto and rank >= upto - n")
+        state = written(found.select(*g, F.expr(f"shiftleft(head, {at - low}) | digit" if at < 64 else "digit").alias("head"), F.expr("rank - (upto - n)").alias("rank")), "medians")
+        at = low
+    median = F.col("head").bitwiseXOR(F.lit(-(2**63)))
+    out = state.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == i, median)).alias(name) for i, name in enumerate(values)])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"g{k}")) for k in keys])
+    return own.select(*[F.col(k).alias(f"g{k}") for k in keys]).distinct().join(out, same, "left").select(*[F.col(f"g{k}").alias(c) for c, k in zip(by, keys, strict=True)], *values)
+
+
 def bench_metrics(documents: DataFrame, runs: DataFrame, bench: str = "bench_id") -> DataFrame:
     """Per benchmark run, from ``documents(bench, doc_id, n_errors, pipeline_ms)`` and ``runs(bench, json_valid, n_attempts, load_ns, duration_ms)`` (AGG3, AGG5, AGG6)."""
-    d = documents.groupBy(bench).agg(F.count("*").alias("documents"), F.count_if(F.col("n_errors") > 0).alias("failed_documents"), upper_median("pipeline_ms").cast("long").alias("median_pipeline_ms"))
+    d = documents.groupBy(bench).agg(F.count("*").alias("documents"), F.count_if(F.col("n_errors") > 0).alias("failed_documents"))
     r = runs.groupBy(bench).agg(
         F.count("*").alias("runs"), F.count_if("json_valid").alias("valid_runs"), F.sum(F.greatest(F.coalesce("n_attempts", F.lit(0)) - 1, F.lit(0))).alias("repair_attempts"),
-        F.sum(F.coalesce("load_ns", F.lit(0))).alias("load_ns"), upper_median("duration_ms").cast("long").alias("median_run_ms"),
+        F.sum(F.coalesce("load_ns", F.lit(0))).alias("load_ns"),
     )
-    return d.join(r, bench, "full")
+    none = F.lit(None).cast("long")
+    both = documents.select(bench, F.col("pipeline_ms").cast("long").alias("p"), none.alias("r")).union(runs.select(bench, none, F.col("duration_ms").cast("long")))
+    medians = upper_medians(both, [bench], {"median_pipeline_ms": "p", "median_run_ms": "r"})
+    return d.join(r, bench, "full").join(medians, bench).select(bench, "documents", "failed_documents", "median_pipeline_ms", "runs", "valid_runs", "repair_attempts", "load_ns", "median_run_ms")
 
 
 def error_code_counts(document_errors: DataFrame, attempt_errors: DataFrame, run_errors: DataFrame, bench: str = "bench_id") -> DataFrame:
@@ -61,8 +112,8 @@ def batch_success(batches: DataFrame, progress: DataFrame, interrupted: DataFram
 
 def calibrate_concurrency(runs: DataFrame, within: float = 0.05) -> DataFrame:
     """The lowest ``stage_concurrency`` without errors whose median is within 5 % of the fastest (AGG8)."""
-    g = runs.groupBy("stage_concurrency").agg(upper_median("pipeline_ms").cast("double").alias("median_ms"), F.sum("error_count").alias("errors"))
-    ok = g.where("errors = 0")
+    medians = upper_medians(runs, ["stage_concurrency"], {"median_ms": "pipeline_ms"}).withColumn("median_ms", F.col("median_ms").cast("double"))
+    ok = medians.join(runs.groupBy("stage_concurrency").agg(F.sum("error_count").alias("errors")).where("errors = 0"), "stage_concurrency")
     best = ok.agg(F.min("median_ms").alias("best"))  # a row per setting, and one
     return ok.join(F.broadcast(best), F.col("median_ms") <= F.col("best") * (1 + within)).agg(F.min("stage_concurrency").alias("stage_concurrency"))
 

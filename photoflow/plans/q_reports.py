@@ -68,11 +68,14 @@ def agg_codes(spark, sf):
     return A.error_code_counts(code(F.col("doc_id") % 10 == 0, F.lit("E_DOC")), code(~F.col("json_valid"), F.concat(F.lit("E_"), F.col("n_attempts").cast("string"))), code(F.col("load_ns").isNull(), F.lit("E_1")))
 
 
-@query(f"{_P} SELECT batch_id, bool_and(status <> 'failed') AND batch_id % 4 <> 0 AS success FROM (SELECT batch_id, status FROM v_progress WHERE event_id % 7 = 0 UNION ALL SELECT DISTINCT batch_id, 'written' FROM v_progress) GROUP BY 1")
+_REPAIRED = "CASE WHEN batch_id % 3 = 1 AND status = 'failed' THEN 'written' ELSE status END"
+
+
+@query(f"{_P} SELECT batch_id, bool_and({_REPAIRED} <> 'failed') AND batch_id % 4 <> 0 AS success FROM v_progress GROUP BY 1")
 def agg_success(spark, sf):
-    """AGG7."""
+    """AGG7, over the whole log; in one batch of three what failed was written in the end."""
     p = progress(spark, sf)
-    return A.batch_success(p, p.where("event_id % 7 = 0"), stopped(spark, sf))
+    return A.batch_success(p, p.withColumn("status", F.expr(_REPAIRED)), stopped(spark, sf))
 
 
 @query(f"""{ctes("v_bench")}, g AS (SELECT stage_concurrency, quantile_disc(pipeline_ms, 0.5 ORDER BY pipeline_ms DESC)::DOUBLE AS m, sum(error_count) AS e FROM v_bench GROUP BY 1), k AS (SELECT * FROM g WHERE e = 0)
