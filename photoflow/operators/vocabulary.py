@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photoflow.operators.cycles import on_cycles
 from photoflow.operators.keywords import fold
-from photoflow.sources.shared import shared_dir
+from photoflow.sources.shared import drop, written
 
 ENTRY = "canonical_path string, parent_path string, flat_keyword string, synonyms array<string>, requires_review boolean, auto_apply_allowed boolean, mutually_exclusive_group string, export_flat_keyword boolean, export_hierarchical_keyword boolean"
 #: Entries that are broadcast at most; beyond it terms are joined by a shuffle.
@@ -48,30 +47,28 @@ def orphan_parents(vocab: DataFrame) -> DataFrame:
     return vocab.where("parent_path is not null").join(parents, "parent_path", "left_anti").select("canonical_path", "parent_path")  # VOC4
 
 
-def _written(df: DataFrame, base: str) -> DataFrame:
-    path = f"{base}/cycles-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cycles(vocab: DataFrame) -> DataFrame:
     """Entries whose chain of parents comes back to them, however long (VOC5).
 
-    Steps are doubled in each round. Where every entry has one parent, what 2^k steps reach shrinks to the entries of the
-    cycles, and no longer changes then. With several parents (repeated paths) all that can be reached is put together.
+    Where every entry has one parent, steps are doubled in each round, and what 2^k steps reach shrinks to the entries of
+    the cycles. With several parents (repeated paths) :func:`on_cycles` finds them; either takes space in proportion.
     """
-    base = shared_dir(vocab.sparkSession)
-    step = _written(vocab.where("parent_path is not null").selectExpr("canonical_path as a", "parent_path as b").distinct(), base)
-    single = step.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    edges = vocab.where("parent_path is not null and canonical_path is not null").selectExpr("canonical_path as a", "parent_path as b").distinct()
+    step = written(edges, "cycles")
+    if not step.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = on_cycles(step).select(F.col("node").alias("canonical_path"))
+        drop(step)
+        return out
     size = None
     while True:
-        reached = step.select("b").distinct() if single else step
+        reached = step.select("b").distinct()
         now = reached.count()
         if now == size:
-            return (reached if single else step.where("a = b")).select(F.col("b").alias("canonical_path"))
+            return reached.select(F.col("b").alias("canonical_path"))
         size = now
-        twice = step.join(step.selectExpr("a as b", "b as c"), "b").selectExpr("a", "c as b")
-        step = _written(twice if single else step.union(twice).distinct(), base)
+        twice = written(step.join(step.selectExpr("a as b", "b as c"), "b").selectExpr("a", "c as b"), "cycles")
+        drop(step)
+        step = twice
 
 
 def canonicalize(cands: DataFrame, vocab: DataFrame, term: str = "term", ascii_only: bool = False) -> DataFrame:
