@@ -31,7 +31,7 @@ MIN_POSITIVE, MIN_SHARE, MAX_FEATURES = 4, 0.005, 2_048
 #: Share of the documents whose labels are held out: crc32(doc_id) mod 4 = 2.
 HELD_OUT = "pmod(crc32(encode(cast(%s as string), 'UTF-8')), 4) = 2"
 THRESHOLD = 0.3
-WORD_CACHE = 500_000
+WORD_CACHE = 60_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
