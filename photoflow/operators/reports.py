@@ -13,22 +13,33 @@ STATUSES = ["written", "skipped_existing", "dry_run", "failed"]
 EXPORT_STATUSES = ["exported", "skipped", "partial", "failed"]
 
 
+def batch_counts(images: DataFrame, progress: DataFrame, interrupted: DataFrame | None = None, batch: str = "batch_id") -> DataFrame:
+    """Per batch: images of the scan, a count per status, and whether it was interrupted (AGG1). ``interrupted(batch)`` lists such batches."""
+    n = images.groupBy(batch).agg(F.count("*").alias("total_images"))
+    out = n.join(progress.groupBy(batch).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]), batch, "full")
+    stopped = interrupted.select(batch).distinct().withColumn("interrupted", F.lit(True)) if interrupted is not None else None
+    out = out.join(stopped, batch, "left") if stopped is not None else out.withColumn("interrupted", F.lit(False))
+    zero = F.lit(0).cast("long")
+    return out.select(batch, *[F.coalesce(c, zero).alias(c) for c in ("total_images", *STATUSES)], F.coalesce("interrupted", F.lit(False)).alias("interrupted"))
+
+
+def batch_errors(progress: DataFrame, interrupted: DataFrame | None = None, batch: str = "batch_id") -> DataFrame:
+    """A row per error of a batch: ``batch, position, code, last``; an interrupted batch has E_INTERRUPTED behind all others (AGG1)."""
+    own = progress.where("error_code is not null").select(batch, F.col("position").cast("long").alias("position"), F.col("error_code").alias("code"), F.lit(0).alias("last"))
+    if interrupted is None:
+        return own
+    return own.union(interrupted.select(batch).distinct().select(batch, F.lit(None).cast("long"), F.lit("E_INTERRUPTED"), F.lit(1)))
+
+
 def batch_summary(images: DataFrame, progress: DataFrame, interrupted: DataFrame | None = None, batch: str = "batch_id") -> DataFrame:
-    """Per batch: images of the scan, a count per status, and its error codes in order, E_INTERRUPTED last (AGG1).
+    """:func:`batch_counts` with a batch's error codes in one array (AGG1), for batches that are small; others are documents in parts.
 
     ``images`` and ``progress(batch, position, status, error_code)``; ``interrupted(batch)`` lists interrupted batches.
     """
-    n = images.groupBy(batch).agg(F.count("*").alias("total_images"))
-    errors = F.transform(F.sort_array(F.collect_list(F.when(F.col("error_code").isNotNull(), F.struct("position", "error_code")))), lambda e: e["error_code"])
-    g = progress.groupBy(batch).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], errors.alias("errors"))
-    out = n.join(g, batch, "full")
-    if interrupted is not None:
-        out = out.join(interrupted.select(batch).distinct().withColumn("_i", F.lit(True)), batch, "left")
-    else:
-        out = out.withColumn("_i", F.lit(None).cast("boolean"))
-    empty = F.coalesce("errors", F.array().cast("array<string>"))
-    zero = F.lit(0).cast("long")
-    return out.select(batch, F.coalesce("total_images", zero).alias("total_images"), *[F.coalesce(s, zero).alias(s) for s in STATUSES], F.when(F.col("_i"), F.concat(empty, F.array(F.lit("E_INTERRUPTED")))).otherwise(empty).alias("errors"))
+    errors = batch_errors(progress, interrupted, batch)
+    codes = errors.groupBy(batch).agg(F.transform(F.sort_array(F.collect_list(F.struct("last", "position", "code"))), lambda e: e["code"]).alias("errors"))
+    out = batch_counts(images, progress, interrupted, batch).drop("interrupted").join(codes, batch, "left")
+    return out.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
 def export_summary(records: DataFrame, run: str = "run_id") -> DataFrame:

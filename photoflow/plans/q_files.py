@@ -1,5 +1,7 @@
 """Inventory, identity and planning queries (SRC, FLT, IDN, PLN, SNK)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photoflow.functions import identity as I
@@ -8,6 +10,8 @@ from photoflow.operators import planning as L
 from photoflow.plans.fixtures import ctes, view
 from photoflow.plans.registry import query
 from photoflow.sources import documents as D
+from photoflow.sources.parts import read_headers, read_items
+from photoflow.sources.shared import shared_dir
 
 _NAME = "regexp_extract(relative_path, '[^/]*$')"
 _EXT = f"regexp_extract({_NAME}, '\\.([^.]*)$', 1)"
@@ -182,12 +186,19 @@ def snk_canonical(spark, sf):
     return view(spark, sf, "documents").select("doc_id", D.canonical_json(F.parse_json(text)).alias("json"))
 
 
-@query(f"""{_PLAN}, e AS (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY doc_id) AS k FROM entries)
-SELECT camera AS run_id, count(*) AS total, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS exported, min(relative_path) AS first_path FROM entries GROUP BY 1""")
+@query(f"""{_PLAN}, e AS (SELECT camera AS run_id, relative_path, CASE doc_id % 4 WHEN 0 THEN 'exported' WHEN 1 THEN 'skipped' WHEN 2 THEN 'partial' ELSE 'failed' END AS status FROM entries),
+t AS (SELECT run_id, count(*) AS total, count(CASE WHEN status = 'exported' THEN 1 END) AS exported, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM e GROUP BY 1)
+SELECT run_id, total, exported, failed, relative_path, status, role, relative_path || '.' || role AS output, CASE role WHEN 'whole_image' THEN 'copy' ELSE 'skip' END AS action FROM e JOIN t USING (run_id) CROSS JOIN (VALUES ('whole_image'), ('subject_isolated')) r(role)""")
 def snk_manifest(spark, sf):
-    """SNK4: a document per run with its records and outputs nested."""
-    e = L.explode_roles(L.plan_outputs(images(spark, sf))[0], "both").select(F.col("camera").alias("run_id"), "relative_path", F.when(F.col("doc_id") % 3 == 0, "exported").otherwise("skipped").alias("status"), "role", F.concat("relative_path", F.lit("."), "role").alias("output"), F.lit("copy").alias("action"))
-    return D.build_export_manifest(e).select("run_id", "total", "exported", F.col("records")[0]["relative_path"].alias("first_path"))
+    """SNK4: a manifest per run, written in parts and read back, each record with its nested outputs."""
+    status = F.expr("CASE doc_id % 4 WHEN 0 THEN 'exported' WHEN 1 THEN 'skipped' WHEN 2 THEN 'partial' ELSE 'failed' END")
+    e = L.explode_roles(L.plan_outputs(images(spark, sf))[0], "both")
+    e = e.select(F.col("camera").alias("run_id"), "relative_path", status.alias("status"), "role", F.concat("relative_path", F.lit("."), "role").alias("output"), F.when(F.col("role") == "whole_image", "copy").otherwise("skip").alias("action"))
+    path = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    D.write_export_manifests(e, path)
+    head = read_headers(spark, path, "run_id string, total long, exported long, failed long")
+    item = read_items(spark, path, "relative_path string, status string, outputs array<struct<role:string,output:string,action:string>>", "run_id")
+    return item.select("run_id", "item.*").join(head, "run_id").select("run_id", "total", "exported", "failed", "relative_path", "status", F.inline("outputs"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'skip' ELSE 'copy' END AS action FROM documents")

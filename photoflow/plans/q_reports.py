@@ -1,11 +1,16 @@
 """Report, calibration and cache queries (AGG, CCH)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photoflow.operators import cache as C
 from photoflow.operators import reports as A
 from photoflow.plans.fixtures import ctes, view
 from photoflow.plans.registry import query
+from photoflow.sources import documents as D
+from photoflow.sources.parts import read_headers, read_items
+from photoflow.sources.shared import shared_dir
 
 _P = ctes("v_progress")
 
@@ -32,6 +37,18 @@ def agg_batch(spark, sf):
     return df.withColumn("errors", F.array_join("errors", ","))
 
 
+@query(f"""{_P}, c AS (SELECT batch_id, count(*) AS n, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM v_progress GROUP BY 1)
+SELECT batch_id, failed, error_code AS code, event_id AS position FROM v_progress JOIN c USING (batch_id) WHERE error_code IS NOT NULL
+UNION ALL SELECT batch_id, failed, 'E_INTERRUPTED', NULL FROM c WHERE batch_id % 4 = 0""")
+def agg_batch_document(spark, sf):
+    """AGG1 as documents in parts: counts and all errors of a batch, read back."""
+    path = f"{shared_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    D.write_batch_summaries(scanned(spark, sf), progress(spark, sf), stopped(spark, sf), path)
+    head = read_headers(spark, path, "batch_id int, failed long")
+    item = read_items(spark, path, "code string, position long", "batch_id").select(F.col("batch_id").cast("int"), "item.*")
+    return item.join(head, "batch_id").select("batch_id", "failed", "code", "position")
+
+
 @query(f"""{_P} SELECT batch_id AS run_id, count(*) AS total, count(CASE WHEN status = 'written' THEN 1 END) AS exported, count(CASE WHEN status = 'skipped_existing' THEN 1 END) AS skipped,
 count(CASE WHEN status = 'dry_run' THEN 1 END) AS partial, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM v_progress GROUP BY 1""")
 def agg_export(spark, sf):

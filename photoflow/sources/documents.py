@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photoflow.functions import json_schema as J
+from photoflow.operators.reports import EXPORT_STATUSES, batch_counts, batch_errors
+from photoflow.sources.parts import write_parts
+from photoflow.sources.shared import drop, written
 from photoflow.sources.tree_sink import write_documents  # noqa: F401
 
 PROGRESS = "timestamp timestamp, source_path string, relative_path string, sidecar_path string, status string, errors array<struct<code:string,stage:string,message:string,recoverable:boolean>>, duration_ms bigint"
@@ -115,10 +118,24 @@ def fill_defaults(docs: DataFrame, doc: str = "doc") -> DataFrame:
     })
 
 
-def build_export_manifest(records: DataFrame, run: str = "run_id") -> DataFrame:
-    """A row per run: its records with their outputs nested, by path, and the counts (SNK4); ``write.json`` it.
+def export_records(outputs: DataFrame, run: str = "run_id") -> DataFrame:
+    """A row per record of a run: its path, status and outputs, nested; a record has an output for each role."""
+    return outputs.groupBy(run, "relative_path", "status").agg(F.sort_array(F.collect_list(F.struct("role", "output", "action"))).alias("outputs"))
 
-    The manifest of a run is one document, so a run's records are gathered by its key.
+
+def write_export_manifests(outputs: DataFrame, path: str, run: str = "run_id") -> None:
+    """A manifest per run: totals, and its records by path with their outputs nested (SNK4), each a document in parts.
+
+    ``outputs(run, relative_path, status, role, output, action)``. A record is as small as its roles; a run may have any
+    number of them.
     """
-    per = records.groupBy(run, "relative_path", "status").agg(F.sort_array(F.collect_list(F.struct("role", "output", "action"))).alias("outputs"))
-    return per.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("relative_path", "status", "outputs"))).alias("records"), F.count("*").alias("total"), F.count_if(F.col("status") == "exported").alias("exported"))
+    records = written(export_records(outputs, run), "records")
+    totals = records.groupBy(run).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in EXPORT_STATUSES])
+    write_parts(totals, records, path, run, ["relative_path", "status"], "records", F.struct("relative_path", "status", "outputs"))
+    drop(records)
+
+
+def write_batch_summaries(images: DataFrame, progress: DataFrame, interrupted: DataFrame | None, path: str, batch: str = "batch_id") -> None:
+    """A summary per batch (AGG1) as a document in parts: the counts, and its errors in the order of the log, E_INTERRUPTED last."""
+    counts, errors = batch_counts(images, progress, interrupted, batch), batch_errors(progress, interrupted, batch)
+    write_parts(counts, errors, path, batch, ["last", "position"], "errors", F.struct("code", "position"))
