@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from photoflow.functions import paths as P
 from photoflow.operators.keywords import BANDS, fold
+from photoflow.sources.shared import written
 
 
 def expand_ancestors(obs: DataFrame, path: str = "canonical_path") -> DataFrame:
@@ -51,6 +52,7 @@ def propagate(stats: DataFrame, vocab: DataFrame, threshold: float = 0.6) -> Dat
     review: an entry that needs review never propagates; below: too rare; not_allowed; conflict: another entry that
     excludes it reaches the threshold too; else propagate.
     """
+    stats = written(stats, "stats")  # read twice, worked out once
     strong = conflicts(stats, vocab).where(F.col("other_frequency") >= threshold).select("session_id", "canonical_path").distinct().withColumn("_c", F.lit(True))
     df = stats.join(vocab.select("canonical_path", "requires_review", "auto_apply_allowed"), "canonical_path").join(strong, ["session_id", "canonical_path"], "left")
     rule = F.when(F.col("frequency") < threshold, "below_threshold").when(F.col("requires_review"), "requires_review").when(~F.col("auto_apply_allowed"), "not_allowed").when(F.col("_c"), "conflict").otherwise("consensus")

@@ -84,12 +84,14 @@ def group_pairs(images: DataFrame, path: str = "relative_path") -> DataFrame:
 
 
 def resolve_pairs(cands: DataFrame, scope: str = "union") -> DataFrame:
-    """``cands(target_path, source_path, is_raw, term)`` to a row per path and folded term, with its sources (KEY8).
+    """``cands(target_path, source_path, is_raw, term)`` to a row per path, folded term and source of it (KEY8).
 
-    scope: union, raw-only or jpeg-only. The spelling is the least source's.
+    scope: union, raw-only or jpeg-only. The spelling is the least source's; ``n_sources`` says how many rows a term has.
     """
     df = cands if scope == "union" else cands.where("is_raw" if scope == "raw-only" else "not is_raw")
-    return df.groupBy("target_path", F.lower("term").alias("folded")).agg(F.min_by("term", F.struct("source_path", "term")).alias("term"), F.sort_array(F.collect_set("source_path")).alias("sources"))
+    each = df.groupBy("target_path", F.lower("term").alias("folded"), "source_path").agg(F.min("term").alias("_term"))
+    named = each.groupBy("target_path", "folded").agg(F.min_by("_term", F.struct("source_path", "_term")).alias("term"), F.count("source_path").alias("n_sources"))
+    return each.join(named, ["target_path", "folded"]).select("target_path", "folded", "term", "n_sources", "source_path")
 
 
 def change_plan(cands: DataFrame, existing: DataFrame, path: str = "target_path") -> DataFrame:

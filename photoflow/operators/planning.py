@@ -40,16 +40,21 @@ def model_inputs(derivatives: DataFrame, mode: str, image: str = "image_id", pos
 
 
 def plan_outputs(images: DataFrame, source: str = "relative_path", output: str = "sidecar_path") -> tuple[DataFrame, DataFrame]:
-    """Entries whose output path is theirs alone in any case, and one row per colliding group (PLN1).
+    """Entries whose output path is theirs alone in any case, and a row per source of each colliding group (PLN1).
 
-    A collision has its folded path, the least path, its sorted sources, and a message. Only what collides is gathered.
+    A collision's rows have its folded path, the least path, how many sources it has, and the source: any number of files
+    may have one output, and none of it is gathered. :func:`collision_groups` puts a group in one row.
     """
     folded = images.withColumn("_key", F.lower(output))
-    many = folded.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
-    entries = folded.join(many, "_key", "left_anti").drop("_key")
-    group = folded.join(many, "_key", "left_semi").groupBy("_key").agg(F.min(output).alias("path"), F.sort_array(F.collect_list(source)).alias("sources"))
-    message = F.concat(F.lit("Output collision: "), F.array_join("sources", ", "))
-    return entries, group.select(F.col("_key").alias("collision_key"), "path", "sources", message.alias("message"))
+    many = folded.groupBy("_key").agg(F.count("*").alias("n_sources"), F.min(output).alias("path")).where("n_sources > 1")
+    entries = folded.join(many.select("_key"), "_key", "left_anti").drop("_key")
+    return entries, folded.select("_key", F.col(source).alias("source")).join(many, "_key").select(F.col("_key").alias("collision_key"), "path", "n_sources", "source")
+
+
+def collision_groups(collisions: DataFrame) -> DataFrame:
+    """A row per colliding group with its sorted sources and a message, to be shown: as large as the group is."""
+    group = collisions.groupBy("collision_key", "path").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    return group.withColumn("message", F.concat(F.lit("Output collision: "), F.array_join("sources", ", ")))
 
 
 def plan_exports(exports: DataFrame, source: str = "relative_path", output: str = "export_path") -> tuple[DataFrame, DataFrame]:
@@ -63,27 +68,59 @@ def plan_exports(exports: DataFrame, source: str = "relative_path", output: str
 
 def apply_existing(plan: DataFrame, existing: DataFrame, policy: str = "skip", dry_run: bool = False, output: str = "sidecar_path") -> DataFrame:
     """``action`` and ``status`` of each planned output: a dry run comes first, then the policy for outputs that exist (PLN3, PLN4)."""
-    if policy not in POLICIES:
-        raise ValueError(f"unknown policy {policy}")
-    there = existing.select(F.col(output)).distinct().withColumn("exists", F.lit(True))
-    df = plan.join(there, output, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-    when = {"skip": "skip_existing", "overwrite": "write", "fail": "fail_existing"}[policy]
-    action = F.lit("dry_run") if dry_run else F.when(F.col("exists"), when).otherwise("write")
-    df = df.withColumn("action", action)
+    df = with_existing(plan, existing, output).withColumn("action", existing_action(policy, dry_run))
     status = F.when(F.col("action") == "dry_run", "dry_run").when(F.col("action") == "skip_existing", "skipped_existing").when(F.col("action") == "fail_existing", "failed").otherwise("planned")
     code = F.when(F.col("action") == "fail_existing", "E_SIDECAR_EXISTS")
     return df.withColumns({"status": status, "error_code": code})
 
 
+def with_existing(plan: DataFrame, existing: DataFrame, output: str = "sidecar_path") -> DataFrame:
+    """``plan`` with whether its output ``exists``: the one join that all policies take."""
+    own, there = _co_located(plan, existing, output)
+    return own.join(there.withColumn("exists", F.lit(True)), output, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def existing_action(policy: str = "skip", dry_run: bool = False) -> Column:
+    """What is done to an output, by the column ``exists`` (PLN3): a dry run comes first."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
+    when = {"skip": "skip_existing", "overwrite": "write", "fail": "fail_existing"}[policy]
+    return F.lit("dry_run") if dry_run else F.when(F.col("exists"), when).otherwise("write")
+
+
+def archive_outputs(existing: DataFrame, table: str, buckets: int, output: str = "sidecar_path", location: str | None = None) -> DataFrame:
+    """The outputs that exist as a bucketed, sorted table ``table``, each path once: later runs join it where it lies.
+
+    ``location`` is the table's folder, if it isn't to be in the warehouse. A table of this name is replaced.
+    """
+    writer = existing.select(output).where(F.col(output).isNotNull()).distinct().repartition(buckets, output).write.mode("overwrite").bucketBy(buckets, output).sortBy(output)
+    (writer.option("path", location) if location else writer).saveAsTable(table)
+    out = existing.sparkSession.table(table)
+    out._photoflow_buckets = (buckets, output)
+    return out
+
+
+def _co_located(plan: DataFrame, existing: DataFrame, output: str) -> tuple[DataFrame, DataFrame]:
+    """The plan dealt out as an archive's buckets are, so that only the plan is shuffled; other existing outputs as they are, once each."""
+    buckets = getattr(existing, "_photoflow_buckets", None)
+    if buckets and buckets[1] == output:
+        return plan.repartition(buckets[0], output), existing.hint("merge")
+    return plan, existing.select(output).distinct()
+
+
 def pending_work(plan: DataFrame, existing: DataFrame, output: str = "sidecar_path") -> DataFrame:
-    """What a resumed batch still has to do: planned, less written (PLN5). Do this before contents are read."""
-    return plan.join(existing.select(output), output, "left_anti")
+    """What a resumed batch still has to do: planned, less written (PLN5). Do this before contents are read.
+
+    Where ``existing`` is a table of :func:`archive_outputs`, the archive isn't shuffled.
+    """
+    own, there = _co_located(plan, existing, output)
+    return own.join(there, output, "left_anti")
 
 
 def union_outcomes(scan_errors: DataFrame, collisions: DataFrame, entries: DataFrame) -> DataFrame:
     """Scan errors, then collisions, then entries: ``stage_rank, path, status, error_code`` (PLN6); order by rank and path."""
     a = scan_errors.select(F.lit(0).alias("stage_rank"), F.col("relative_path").alias("path"), F.lit("failed").alias("status"), F.col("error.code").alias("error_code"))
-    b = collisions.select(F.lit(1).alias("stage_rank"), F.explode("sources").alias("path"), F.lit("failed").alias("status"), F.lit("E_SIDECAR_COLLISION").alias("error_code"))
+    b = collisions.select(F.lit(1).alias("stage_rank"), F.col("source").alias("path"), F.lit("failed").alias("status"), F.lit("E_SIDECAR_COLLISION").alias("error_code"))
     c = entries.select(F.lit(2).alias("stage_rank"), F.col("relative_path").alias("path"), "status", "error_code")
     return a.unionByName(b).unionByName(c)
 

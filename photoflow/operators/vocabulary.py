@@ -35,11 +35,12 @@ def duplicate_paths(vocab: DataFrame) -> DataFrame:
 
 
 def ambiguous_synonyms(vocab: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Folded names that stand for several entries, as synonyms or terms: ``name, n_entries, entries`` (VOC3)."""
+    """Folded names that stand for several entries, as synonyms or terms: ``name, n_entries, canonical_path``, a row per entry (VOC3)."""
     terms = vocab.select("canonical_path", fold(F.col("flat_keyword"), ascii_only).alias("name"), F.lit(0).alias("is_synonym"))
     syn = vocab.select("canonical_path", F.explode("synonyms").alias("s")).select("canonical_path", fold(F.col("s"), ascii_only).alias("name"), F.lit(1).alias("is_synonym"))
-    g = terms.union(syn).groupBy("name").agg(F.sort_array(F.collect_set("canonical_path")).alias("entries"), F.max("is_synonym").alias("m"))
-    return g.where("size(entries) > 1 and m = 1").select("name", F.size("entries").alias("n_entries"), "entries")
+    each = terms.union(syn).groupBy("name", "canonical_path").agg(F.max("is_synonym").alias("m"))
+    many = each.groupBy("name").agg(F.count("canonical_path").alias("n_entries"), F.max("m").alias("m")).where("n_entries > 1 and m = 1").select("name", "n_entries")
+    return each.where("canonical_path is not null").join(many, "name").select("name", "n_entries", "canonical_path")
 
 
 def orphan_parents(vocab: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def idn_recipe(spark, sf):
 @query(f"{_PLAN} SELECT lower(sidecar_path) AS collision_key, min(sidecar_path) AS path, list_aggregate(list_sort(list(relative_path)), 'string_agg', ', ') AS sources FROM hit GROUP BY 1")
 def pln_collisions(spark, sf):
     """PLN1, the collisions."""
-    return L.plan_outputs(images(spark, sf))[1].select("collision_key", "path", F.array_join("sources", ", ").alias("sources"))
+    return L.collision_groups(L.plan_outputs(images(spark, sf))[1]).select("collision_key", "path", F.array_join("sources", ", ").alias("sources"))
 
 
 _EXPORTS = "SELECT relative_path, role, relative_path || CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(doc_id AS STRING) END || '.' || role AS export_path FROM img CROSS JOIN (VALUES ('whole_image'), ('subject_isolated')) r(role)"
@@ -147,21 +147,24 @@ def pln_exports(spark, sf):
     return ok.select("relative_path", F.col("export_path").alias("output"), F.lit("planned").alias("outcome")).union(bad.select("relative_path", "collision_key", F.lit("failed")))
 
 
+def archive(spark, sf):
+    name = f"archive_{uuid.uuid4().hex}"
+    return L.archive_outputs(view(spark, sf, "v_existing"), name, 16, location=f"{shared_dir(spark)}/{name}")
+
+
 @query(f"""{_PLAN} SELECT doc_id, CASE WHEN sidecar_path IN (SELECT sidecar_path FROM ex) THEN 'skip_existing' ELSE 'write' END AS skip, CASE WHEN sidecar_path IN (SELECT sidecar_path FROM ex) THEN 'fail_existing' ELSE 'write' END AS fail,
 'write' AS overwrite, 'dry_run' AS dry FROM entries""")
 def pln_existing(spark, sf):
-    """PLN3, PLN4."""
-    plan, there = L.plan_outputs(images(spark, sf))[0].select("doc_id", "sidecar_path"), view(spark, sf, "v_existing")
-    out = L.apply_existing(plan, there, "skip").select("doc_id", F.col("action").alias("skip"))
-    for name, policy, dry in (("fail", "fail", False), ("overwrite", "overwrite", False), ("dry", "fail", True)):
-        out = out.join(L.apply_existing(plan, there, policy, dry).select("doc_id", F.col("action").alias(name)), "doc_id")
-    return out
+    """PLN3, PLN4: all policies from one join with an archive whose buckets the plan is dealt out to."""
+    out = L.with_existing(L.plan_outputs(images(spark, sf))[0].select("doc_id", "sidecar_path"), archive(spark, sf))
+    policies = {"skip": L.existing_action("skip"), "fail": L.existing_action("fail"), "overwrite": L.existing_action("overwrite"), "dry": L.existing_action("fail", dry_run=True)}
+    return out.select("doc_id", *[c.alias(name) for name, c in policies.items()])
 
 
 @query(f"{_PLAN} SELECT doc_id, sidecar_path FROM entries WHERE sidecar_path NOT IN (SELECT sidecar_path FROM ex)")
 def pln_pending(spark, sf):
-    """PLN5."""
-    return L.pending_work(L.plan_outputs(images(spark, sf))[0], view(spark, sf, "v_existing")).select("doc_id", "sidecar_path")
+    """PLN5, against an archive that isn't shuffled."""
+    return L.pending_work(L.plan_outputs(images(spark, sf))[0], archive(spark, sf)).select("doc_id", "sidecar_path")
 
 
 @query(f"""{_PLAN}, o AS (
