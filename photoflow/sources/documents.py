@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from photoflow.functions import json_schema as J
 from photoflow.operators.reports import EXPORT_STATUSES, batch_counts, batch_errors
+from photoflow.sources.merge import merge_documents  # noqa: F401
 from photoflow.sources.parts import write_parts
 from photoflow.sources.shared import drop, written
 from photoflow.sources.tree_sink import write_documents  # noqa: F401
@@ -71,27 +69,6 @@ def copy_files(plan: DataFrame, source: str = "cache_path", target: str = "targe
     return plan.mapInPandas(run, plan.schema)
 
 
-def merged(base, new):
-    """Keys of objects by recursion, arrays by place and at the replacement's length, all else replaced."""
-    if isinstance(base, dict) and isinstance(new, dict):
-        return {**base, **{k: merged(base[k], v) if k in base else v for k, v in new.items()}}
-    if isinstance(base, list) and isinstance(new, list):
-        return [merged(base[k], v) if k < len(base) else v for k, v in enumerate(new)]
-    return new
-
-
-@F.pandas_udf(T.StringType())
-def merge_json(base: pd.Series, updates: pd.Series) -> pd.Series:
-    dump = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-    return pd.Series([b if u is None else u if b is None else dump(merged(json.loads(b), json.loads(u))) for b, u in zip(base, updates, strict=True)])
-
-
-def merge_documents(base: DataFrame, updates: DataFrame, key: str = "path", text: str = "json") -> DataFrame:
-    """Documents of ``base`` with ``updates`` merged in, unknown fields kept (JSN7). How deep they go is in the data, hence the UDF."""
-    new = updates.select(key, F.col(text).alias("_new"))
-    return base.select(key, text).join(new, key, "full").select(key, merge_json(text, "_new").alias(text))
-
-
 def get(doc: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(doc, path, kind)
 

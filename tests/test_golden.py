@@ -159,11 +159,6 @@ def test_progress_log(spark, tmp_path):
     assert got.count() == 3 and got.where("_corrupt_record is not null").count() == 1 and got.where("status = 'written'").count() == 2
 
 
-def test_merge_keeps_unknown_fields():
-    base = {"a": {"x": 1, "keep": 2}, "l": [{"p": 1, "q": 2}, 3], "z": 0}
-    assert D.merged(base, {"a": {"x": 9}, "l": [{"p": 5}], "n": None}) == {"a": {"x": 9, "keep": 2}, "l": [{"p": 5, "q": 2}], "z": 0, "n": None}
-    assert D.merged(base, base) == base and D.merged([1], {"a": 1}) == {"a": 1}
-
 
 def test_vocabulary_document(spark, tmp_path):
     doc = {"schema_version": "image-vocabulary/1.0", "entries": [{"canonical_path": "A|B", "parent_path": "A", "flat_keyword": "Straße", "synonyms": ["Café"]}]}
