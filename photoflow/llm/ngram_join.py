@@ -92,7 +92,9 @@ def _some(batches: Iterator[pd.DataFrame], most: int = 60_000) -> Iterator[tuple
 def _dealt(n: int, groups: int):
     """A row for each (batch of documents, group): the low halves of the grams of the group's range, and their documents' numbers.
 
-    One more row of a batch, without grams, has its documents' ids and how many grams each has.
+    A gram is a row's entry once, with one of its documents and how many there are in the batch, so that one which all
+    documents hold is an entry a batch and not one a document. One more row of a batch, without grams, has its documents'
+    ids, how many grams each has, and the other documents of grams of several, in the order of groups and grams.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,13 +104,17 @@ def _dealt(n: int, groups: int):
             size = np.array([len(s) for s in sets])
             g = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets)), size).astype(np.uint16)
-            group = ((g >> _U(32)) * _U(groups)) >> _U(32)
-            order = np.argsort(group, kind="stable")
-            g, doc, group = g[order].astype(np.uint32), doc[order], group[order]
+            token = ((((g >> _U(32)) * _U(groups)) >> _U(32)) << _U(32)) | (g & _U(0xFFFFFFFF))
+            order = np.argsort(token, kind="stable")
+            token, doc = token[order], doc[order]
+            new = np.concatenate((np.ones(min(1, len(token)), bool), token[1:] != token[:-1]))
+            others, count = doc[~new], np.diff(np.append(np.flatnonzero(new), len(token))).astype(np.uint16)
+            token, doc = token[new], doc[new]
+            group, g = token >> _U(32), token.astype(np.uint32)
             cut = np.concatenate((np.flatnonzero(np.diff(group, prepend=_U(groups))), [len(g)]))
-            rows = [(batch % groups, batch, len(g), ids, size, None, None)]
-            rows += [(int(group[s]), batch, 0, None, None, doc[s:e].tobytes(), g[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pd.DataFrame(rows, columns=["part", "batch", "total", "ids", "sizes", "docs", "grams"])
+            rows = [(batch % groups, batch, len(g), ids, size, others.tobytes(), None, None)]
+            rows += [(int(group[s]), batch, 0, None, None, doc[s:e].tobytes(), g[s:e].tobytes(), count[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield pd.DataFrame(rows, columns=["part", "batch", "total", "ids", "sizes", "docs", "grams", "counts"])
             batch += 1
 
     return run
@@ -120,11 +126,13 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     head, rest = pdf[~full].assign(dfs=None), pdf[full]
     if len(rest) == 0:
         return head
-    grams, docs = [np.frombuffer(x, np.uint32) for x in rest["grams"]], [np.frombuffer(x, np.uint16) for x in rest["docs"]]
-    _, which, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    grams = [np.frombuffer(x, np.uint32) for x in rest["grams"]]
+    docs, counts = [[np.frombuffer(x, np.uint16) for x in rest[c]] for c in ("docs", "counts")]
+    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    count = np.minimum(np.bincount(which, weights=np.concatenate(counts)), 2**32 - 1)
     dfs = np.split(count[which].astype(np.uint32), np.cumsum([len(x) for x in grams])[:-1])
     left = lambda xs: [x[df > 1].tobytes() for x, df in zip(xs, dfs, strict=True)]
-    rest = rest.assign(total=[-len(x) for x in grams], docs=left(docs), grams=left(grams), dfs=left(dfs))
+    rest = rest.assign(total=[-len(x) for x in grams], docs=left(docs), grams=left(grams), counts=left(counts), dfs=left(dfs))
     return pd.concat([head, rest]) if len(head) else rest
 
 
@@ -136,9 +144,16 @@ def _first_ones(percent: int):
         head, rest = pdf[pdf["ids"].notna()].iloc[0], pdf[pdf["grams"].notna()]
         size = np.asarray(head["sizes"], dtype=np.int64)
         join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rest[c]] or [np.empty(0, t)])
-        grams, docs, df = join("grams", np.uint32), join("docs", np.uint16).astype(np.int64), join("dfs", np.uint32)
         part = np.repeat(rest["part"].to_numpy(dtype=np.int64), [len(x) // 4 for x in rest["grams"]])
-        token = (part << 32) | grams.astype(np.int64)
+        token = (part << 32) | join("grams", np.uint32).astype(np.int64)
+        order = np.argsort(token)
+        token, one, df, count = token[order], join("docs", np.uint16)[order], join("dfs", np.uint32)[order], join("counts", np.uint16)[order].astype(np.int64)
+        # grams of several documents of the batch have the others in the batch's own row, in this order
+        docs, at = np.empty(count.sum(), dtype=np.int64), np.cumsum(count) - count
+        rest_of = np.ones(len(docs), dtype=bool)
+        rest_of[at] = False
+        docs[at], docs[rest_of] = one, np.frombuffer(head["docs"], np.uint16)
+        token, df = np.repeat(token, count), np.repeat(df, count)
         order = np.lexsort((token, df, docs))
         token, docs = token[order], docs[order]
         own = np.bincount(docs, minlength=len(size))
@@ -199,7 +214,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = copies.count() <= BROADCAST_IDS  # else the texts are shuffled
     body = body.join(F.broadcast(copies), "id", "left_anti") if few else materialise(body.join(copies, "id", "left_anti"), "bodies")
     groups = max(LEAST_GROUPS, total // 6 // SOME_GRAMS)
-    layout = f"part int, batch long, total int, ids array<{id_type}>, sizes array<int>, docs binary, grams binary"
+    layout = f"part int, batch long, total int, ids array<{id_type}>, sizes array<int>, docs binary, grams binary, counts binary"
     counted = body.mapInPandas(_dealt(n, groups), layout).groupBy("part").applyInPandas(_counted, layout + ", dfs binary")
     sets = counted.groupBy("batch").applyInPandas(_first_ones(percent), f"id {id_type}, size int, sigs array<bigint>").where("size > 0")
     sets = materialise(sets.dropDuplicates(["id"]), "sets")

@@ -82,7 +82,7 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc, tag = encoder(path), 0
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
@@ -92,9 +92,9 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
                 while at < n:
                     to = (n % max_len or max_len) if at == 0 else at + max_len
                     part = ids[4 * at : 4 * to]
-                    rows.append((i, piece, at, to - at, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-                    at, piece = to, piece + 1
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                    rows.append((i, piece, at, to - at, zlib.crc32(part), tag, *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
+                    at, piece, tag = to, piece + 1, (tag + 1) % 2**31
+            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "tag", *["ids"] * with_ids])
 
     return run
 
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         path = public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, tag int" + ", ids array<int>" * with_ids
     pieces = materialise(src.mapInPandas(_pieces(path, max_len, end_id, with_ids), schema), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_len rows at most
     runs, used, first = [], dict.fromkeys(counts, 0), 0
@@ -170,10 +170,11 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     plan = spark.createDataFrame(runs, "length long, lo long, hi long, first long, times long, place long")
     blocks = spark.createDataFrame([(n, -(-c // BLOCK)) for n, c in counts.items()], "length long, blocks long")
     # both are bounded by max_len, not by the corpus
-    salted = pieces.join(F.broadcast(blocks), "length").withColumn("salt", F.expr("pmod(xxhash64(id, piece, ids_crc32), blocks)"))
+    # a task's running number deals out repeated rows
+    salted = pieces.join(F.broadcast(blocks), "length").withColumn("salt", F.expr("pmod(xxhash64(id, piece, ids_crc32, tag), blocks)"))
     size = salted.groupBy("length", "salt").count()
     before = size.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "tag")
     number = salted.withColumn("own", F.row_number().over(own)).join(before, ["length", "salt"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
     out = number.join(F.broadcast(plan), "length").where("rank >= lo and rank < hi")
     return out.select(

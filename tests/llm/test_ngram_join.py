@@ -87,3 +87,32 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d", 5, "x"), (1, "a b c d", 5, "x"), (2, "A b\nc d", 6, "y")], "doc_id long, text string, sig int, fp string")
     assert sorted((r.doc_id, r.n_grams, r.component_id) for r in jaccard_groups(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_a_gram_of_all_documents_is_an_entry_a_batch():
+    import numpy as np
+    import pandas as pd
+
+    from photoflow.llm.ngram_join import _counted, _dealt, _first_ones
+
+    texts = [f"the same words {k} own end" for k in range(3000)]
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    import photoflow.llm.ngram_join as J
+
+    before, J.TaskContext = J.TaskContext, Context
+    try:
+        dealt = pd.concat(_dealt(3, 64)(iter([pd.DataFrame({"id": range(3000), "body": [t.encode() for t in texts]})])))
+    finally:
+        J.TaskContext = before
+    entries = np.concatenate([np.frombuffer(x, np.uint32) for x in dealt["grams"] if x is not None])
+    assert len(entries) == 1 + 3 * 3000  # "the same words" once
+    counted = pd.concat([_counted(x) for _, x in dealt.groupby("part")])
+    out = pd.concat([_first_ones(90)(x) for _, x in counted.groupby("batch")])
+    assert sorted(out["id"]) == list(range(3000)) and set(out["size"]) == {4}

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from photoflow.llm.packing import Encoder, fillings, op9_best_fit_packing, pack
 
@@ -90,3 +91,9 @@ def test_odd_rows(spark):
     twice = pack(df.union(df).where("doc_id > 0"))
     assert twice.count() == 2 * pack(df.where("doc_id > 0")).count()
     assert twice.select("sequence_id", "offset").distinct().count() == twice.count()
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    out = pack(docs)
+    assert out.count() == 100_000 and out.select("sequence_id", "offset").distinct().count() == 100_000
