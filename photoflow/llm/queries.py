@@ -11,7 +11,7 @@ from photoflow.llm.piece_lattice import op4_sentencepiece
 from photoflow.llm.quality_rules import op5_quality_rules
 from photoflow.llm.ranked_search import OP11_SQL, op11_ranked_search
 from photoflow.llm.toxicity import op2_toxicity
-from photoflow.llm.url_filter import OP1_SQL, op1_url_filter
+from photoflow.llm.url_filter import OP1_SQL, URL_ALIASES_SQL, op1_url_filter, url_aliases
 from photoflow.llm.warc import OP12_SQL, op12_warc_revisits
 
 QUERIES = {
@@ -28,6 +28,7 @@ QUERIES = {
     "op11_ranked_search": op11_ranked_search,
     "op12_warc_revisits": op12_warc_revisits,
     "op13_periodic_runs": op13_periodic_runs,
+    "url_aliases": url_aliases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_warc_revisits": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_warc_revisits": OP12_SQL, "op13_periodic_runs": OP13_SQL, "url_aliases": URL_ALIASES_SQL}

@@ -102,6 +102,14 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def url_aliases(spark, sf_dir: str) -> DataFrame:
+    """The same rules where two pages of three were moved: each leads to the URL of the page before it, so chains of three are one site."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    moved = pages.where("page_id % 3 <> 0").select((F.col("page_id") - 1).alias("to"), F.col("url").alias("src"))
+    redirects = moved.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+    return judged(pages, spark.createDataFrame(RULES, "host string, path string, action string"), redirects)
+
+
 #: The pages link to nothing by canonical links or refreshes, so rules decide alone; the aliases are tested on fixtures.
 _ORDERED = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
 
@@ -118,3 +126,17 @@ SELECT page_id, host, path, {_case(lambda h, p, a: h + p)} AS rule, coalesce({_c
        CAST(NULL AS VARCHAR) AS alias_verdict
 FROM p
 """
+
+URL_ALIASES_SQL = f"""
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS query FROM u),
+n AS (SELECT page_id, host, path, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS node FROM p),
+e AS (SELECT a.node AS s, b.node AS d FROM n a JOIN n b ON b.page_id = a.page_id - 1 WHERE a.page_id % 3 <> 0 AND a.host <> '' AND b.host <> '' AND a.node <> b.node),
+b AS (SELECT s, d FROM e UNION SELECT d, s FROM e),
+r AS (SELECT s AS node, s AS other FROM b UNION SELECT r.node, b.d FROM r JOIN b ON b.s = r.other),
+o AS (SELECT node, other, regexp_extract(other, '^([^/?]*)', 1) AS host, regexp_extract(other, '^[^/?]*([^?]*)', 1) AS path FROM r),
+k AS (SELECT node, {_case(lambda h, p, a: a)} AS action FROM o),
+m AS (SELECT node, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS alias_verdict FROM k WHERE action IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, {_case(lambda h, p, a: h + p)} AS rule, coalesce({_case(lambda h, p, a: a)}, alias_verdict, 'allow') AS verdict, alias_verdict FROM n LEFT JOIN m USING (node)
+"""

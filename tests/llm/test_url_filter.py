@@ -68,3 +68,25 @@ def test_host_of_very_many_labels(spark):
     rows = [(1, "http://" + "a." * 100_000 + "com/en/x", ""), (2, "http://com/en/", ""), (3, "http://xcom/en/", "")]
     got = {r.page_id: (r.rule, r.verdict) for r in judged(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
     assert got == {1: ("com/en/", "block"), 2: ("com/en/", "block"), 3: (None, "allow")}
+
+
+def test_aliases_are_their_sql(spark, sf01):
+    import duckdb
+
+    from photoflow.llm.url_filter import URL_ALIASES_SQL, url_aliases
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{sf01}/pages.parquet')")
+    got = url_aliases(spark, sf01)
+    want = con.execute(URL_ALIASES_SQL).fetchall()
+    assert [d[0] for d in con.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r[4] for r in want if r[3] is None} == {"allow", "block"}  # verdicts that only an alias gives
+
+
+def test_columns_of_clashing_names(spark):
+    from photoflow.llm.url_filter import judged
+
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "", "y", "z", "w")], "page_id long, url string, html string, host string, rule string, node string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, action string")
+    assert [tuple(r) for r in judged(pages, rules).collect()] == [(1, "a.com", "/en/x", "com/en/", "block", None)]
