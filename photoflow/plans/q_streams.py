@@ -39,21 +39,21 @@ def str_summary(spark, sf):
 
 
 _REPEATS = f"""{_P}, c AS (SELECT event_id, batch_id, source_path, ts FROM v_progress UNION ALL SELECT event_id, batch_id, source_path, ts + INTERVAL 10 MINUTE FROM v_progress
-    UNION ALL SELECT event_id, batch_id, source_path, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 9 DAY ELSE INTERVAL 6 HOUR END FROM v_progress
+    UNION ALL SELECT event_id, batch_id, source_path, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 6 HOUR END FROM v_progress
     UNION ALL SELECT event_id, batch_id, source_path, ts FROM v_progress WHERE event_id % 10 = 7),
 l AS (SELECT *, lag(ts) OVER (PARTITION BY event_id, batch_id, source_path ORDER BY ts) AS before FROM c)"""
 
 
 @query(f"{_REPEATS} SELECT batch_id, source_path, count(*) AS files FROM l WHERE before IS NULL OR ts - before > INTERVAL 12 HOUR GROUP BY 1, 2")
 def str_dedup(spark, sf):
-    """STR3: rows are repeated after 10 minutes and 6 hours, within the delay, and after 9 days, beyond it; late repeats never count.
+    """STR3: rows are repeated after 10 minutes and 6 hours, within the delay, and after 10 days, beyond it; late repeats never count.
 
-    Each trigger sees four days and the delay is 12 hours, so the state of a first row is gone when a repeat comes 9 days
+    Each trigger sees four days and the delay is 12 hours, so the state of a first row is gone when a repeat comes 10 days
     after it, and is there for the others. The repeats of equal time come 8 days late.
     """
     rows = log(spark, sf).select("event_id", "batch_id", "source_path", "ts")
     own = days_apart("ts", 4, _FIRST)
-    again = rows.withColumn("ts", F.expr("ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 9 DAYS ELSE INTERVAL 6 HOURS END"))
+    again = rows.withColumn("ts", F.expr("ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 10 DAYS ELSE INTERVAL 6 HOURS END"))
     all_ = rows.union(rows.withColumn("ts", F.expr("ts + INTERVAL 10 MINUTES"))).union(again).withColumn("at", own)
     all_ = all_.union(rows.where("event_id % 10 = 7").withColumn("at", own + 2))
     a = Arrivals(all_, F.col("at"))
