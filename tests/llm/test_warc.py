@@ -97,6 +97,22 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path / "a") == []
 
 
+def test_members_are_read_as_by_the_standard_library(tmp_path):
+    import random
+
+    r = random.Random(2)
+    texts = [r.randbytes(r.choice([0, 1, 100, 70_000])) + b"x\n" * r.choice([0, 5, 300_000]) for _ in range(60)]
+    file = tmp_path / "x.warc.gz"
+    file.write_bytes(b"".join(gzip.compress(t) for t in texts) + b"\0" * 100)
+    with W._opened(str(file)) as f:
+        assert f.read() == b"".join(texts)
+    with W._opened(str(file)) as f:
+        assert list(f) == list(io.BytesIO(b"".join(texts)))
+    file.write_bytes(gzip.compress(b"y" * 1000)[:-12])
+    with W._opened(str(file)) as f, pytest.raises(EOFError):
+        f.read()
+
+
 def test_empty_table(spark, tmp_path):
     W.write_archive(W.responses(spark.createDataFrame([], PAGES)), str(tmp_path / "a"))
     W.deduplicate(spark, str(tmp_path / "a"), str(tmp_path / "b"))
