@@ -18,6 +18,8 @@ from photoflow.llm.common import discard, materialise
 MARK = "▁"
 #: Units that are joined by broadcast at most, the most frequent ones, of FREQUENT_LENGTH characters at most; the rest go by shuffle.
 FREQUENT, FREQUENT_LENGTH = 400_000, 64
+#: Starts that are looked at together in a long unit, and characters of a unit whose parts are folded as an array.
+WINDOW, SHORT = 128, 64
 #: What an edge of a character without a piece costs beyond the least score.
 UNKNOWN_PENALTY = 10.0
 #: Kinds of characters: letters, digits, spaces and their marks, others.
@@ -94,24 +96,68 @@ def _spelling(rows: list) -> list[int]:
     return [byte[b] for b in range(256)] if len(byte) == 256 else [next((r.id for r in rows if r.kind == 2), 0)]
 
 
+def _codes(char: Column, spelling: list[int]) -> Column:
+    """Of a code point, marked as -2 less it, what ids it has where no piece is alike: its bytes', or the unknown piece's."""
+    if len(spelling) < 256:
+        return F.array(F.lit(spelling[0]))
+    c = F.when(char == -2 - ord(" "), ord(MARK)).otherwise(-2 - char)
+    last = lambda k: 128 + F.shiftright(c, 6 * k).bitwiseAND(63)
+    utf8 = F.when(c < 1 << 7, F.array(c)).when(c < 1 << 11, F.array(192 + F.shiftright(c, 6), last(0)))
+    utf8 = utf8.when(c < 1 << 16, F.array(224 + F.shiftright(c, 12), last(1), last(0))).otherwise(F.array(240 + F.shiftright(c, 18), last(2), last(1), last(0)))
+    return F.transform(utf8, lambda b: F.get(F.array(*[F.lit(x) for x in spelling]), b))
+
+
 def lattice(units: DataFrame, table: DataFrame, algorithm: str, *keep: str) -> DataFrame:
     """``units(unit)``, distinct, to ``unit, edges`` and the columns ``keep``: all pieces that occur in it, in the order to fold them in.
 
-    An edge has its start, its end, their ``place`` as one number, id and score. The id of a character without a piece is
-    -2 less its place.
+    An edge has its start, its end and its id; that of a character without a piece is -2 less its code point. For ``bpe``
+    edges of one character are apart, as ``chars``, in order, and edges carry their end and id in one number.
+    Long units are looked at in windows of WINDOW starts, and their edges grouped by a digest: no row repeats a long unit.
     """
     rows = _rows(table)
     normal = [r for r in rows if r.kind in (1, 4)]
     longest = max((len(r.piece) for r in normal), default=1)
     unknown = min((r.score for r in normal), default=0.0) - UNKNOWN_PENALTY
-    spread = units.where("unit <> ''").select("unit", *keep, F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    spread = spread.select("*", F.explode(F.expr(f"sequence(s + 1, least(length(unit), s + {longest}))")).alias("e")).withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
+    short = F.length("unit") <= WINDOW
+    key = F.when(short, F.col("unit")).otherwise(F.concat(F.lit("-" * WINDOW), F.sha2("unit", 256))).alias("key")  # longer than any short unit
+    windows = F.when(short, F.array(F.struct(F.lit(0).alias("base"), F.col("unit").alias("part"), F.lit(None).cast("string").alias("whole"))))
+    windows = windows.otherwise(F.expr(f"transform(sequence(0, length(unit) - 1, {WINDOW}), b -> struct(b as base, substring(unit, b + 1, {WINDOW + longest - 1}) as part, if(b = 0, unit, null) as whole))"))
+    spread = units.where("unit <> ''").select(key, *keep, F.explode(windows).alias("w")).select("key", *keep, "w.*")
+    spread = spread.select("*", F.explode(F.expr(f"sequence(0, least({WINDOW}, length(part)) - 1)")).alias("p"))
+    spread = spread.select("key", *keep, "base", "p", "part", F.when(F.col("p") == 0, F.col("whole")).alias("whole"), F.explode(F.expr(f"sequence(1, least(length(part) - p, {longest}))")).alias("n"))
+    spread = spread.select("key", *keep, (F.col("base") + F.col("p")).alias("s"), "n", F.expr("substring(part, p + 1, n)").alias("piece"), F.when(F.col("n") == 1, F.col("whole")).alias("whole"))
     pieces = table.where("kind in (1, 4)").select(F.replace("piece", F.lit(MARK), F.lit(" ")).alias("piece"), "id", "score")
-    edges = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or e = s + 1")
-    score, code = F.coalesce("score", F.lit(unknown)), F.coalesce("id", F.lit(-2) - F.col("s"))
-    place = (F.col("s").cast("long") * (1 << 32) + F.col("e")).alias("place")
-    first = [(-score).alias("rank"), F.col("s"), F.col("e")] if algorithm == "bpe" else [F.col("e"), F.col("s"), score.alias("score")]
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct(*first, place, code.alias("id")))).alias("edges"), *[F.first(c).alias(c) for c in keep])
+    edges = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
+    code = F.coalesce("id", F.lit(-2) - F.ascii("piece"))
+    if algorithm == "bpe":
+        value = (F.shiftleft((F.col("s") + F.col("n")).cast("long"), 32) + code + (1 << 31)).alias("v")
+        multi = F.struct((-F.col("score")).alias("rank"), F.col("s"), (F.col("s") + F.col("n")).alias("e"), value)
+        found = [F.sort_array(F.collect_list(F.when(F.col("n") > 1, multi))).alias("edges"), F.transform(F.sort_array(F.collect_list(F.when(F.col("n") == 1, F.struct("s", value)))), lambda x: x["v"]).alias("chars")]
+    else:
+        one = F.struct((F.col("s") + F.col("n")).alias("e"), F.col("s"), F.coalesce("score", F.lit(unknown)).alias("score"), code.alias("id"))
+        found = [F.sort_array(F.collect_list(one)).alias("edges")]
+    names = ["edges", "chars"][: len(found)]
+    grouped = edges.groupBy("key").agg(*found, F.max("whole").alias("whole"), *[F.first(c).alias(c) for c in keep])
+    return grouped.select(F.coalesce("whole", "key").alias("unit"), *names, *keep)
+
+
+def _merges() -> str:
+    """A fold over the edges of more than one character; a place holds the part that starts there, its end and id in one number.
+
+    An edge over two parts, the second of which starts where the first ends, makes them one. Spark copies an array that is
+    folded into at each step, but no binary value, so the places of long units are one of 8 bytes each.
+    """
+    first = "int(shiftright(get(a, x.s), 32))"
+    flat = f"""filter(aggregate(edges, chars, (a, x) -> if(int(shiftright(get(a, {first}), 32)) = x.e,
+        concat(slice(a, 1, x.s), array(x.v), slice(a, x.s + 2, {first} - x.s - 1), array(-1L), slice(a, {first} + 2, size(a))), a)), v -> v >= 0)"""
+    number = lambda p, at: f"cast(conv(hex(substring(a, 8 * ({p}) + {at}, 4)), 16, 10) as bigint)"
+    first = f"int({number('x.s', 1)})"
+    # a place that is within a part ends where the unit does, where no part starts
+    within = "unhex(concat(lpad(hex(size(chars)), 8, '0'), 'FFFFFFFF'))"
+    deep = f"""filter(transform(array(aggregate(edges, unhex(array_join(transform(chars, v -> lpad(hex(v), 16, '0')), '')), (a, x) -> if({number(first, 1)} = x.e,
+        concat(substring(a, 1, 8 * x.s), unhex(lpad(hex(x.v), 16, '0')), substring(a, 8 * x.s + 9, 8 * ({first} - x.s - 1)), {within}, substring(a, 8 * {first} + 9)), a))),
+        a -> transform(sequence(0, size(chars) - 1), p -> {number("p", 5)}))[0], v -> v < 4294967295L)"""
+    return f"transform(if(size(chars) <= {SHORT}, {flat}, {deep}), v -> int((v & 4294967295L) - 2147483648L))"
 
 
 def encoded_units(units: DataFrame, table: DataFrame, algorithm: str = "unigram", *keep: str) -> DataFrame:
@@ -124,12 +170,8 @@ def encoded_units(units: DataFrame, table: DataFrame, algorithm: str = "unigram"
     spelling = _spelling(_rows(table))
     found = lattice(units, table, algorithm, *keep)
     if algorithm == "bpe":
-        # cuts are the places between parts; an edge over two parts takes the cut between them away. A piece that is
-        # better than one it is made of could come too early; tests find no unit of the tables where it does
-        raw = """aggregate(edges, sequence(0, length(unit)), (cuts, x) -> if(x.e > x.s + 1 and get(cuts, int(array_position(cuts, x.s)) + 1) = x.e and array_position(cuts, x.s) > 0,
-            array_remove(cuts, get(cuts, int(array_position(cuts, x.s)))), cuts),
-            cuts -> transform(slice(cuts, 1, size(cuts) - 1), (s, i) -> get(edges.id, int(array_position(edges.place, s * 4294967296L + get(cuts, i + 1))) - 1)))"""
-        ways = found
+        # a piece that is better than one it is made of could come too early; tests find no unit of the tables where it does
+        raw, ways = _merges(), found
     else:
         # best[p] is the best way to place p: its score, and the start and id of its last piece; edges come by their end
         fold = """aggregate(edges, array(struct(0D as score, 0 as s, -1 as id)), (best, x) -> if(x.e = size(best),
@@ -138,13 +180,7 @@ def encoded_units(units: DataFrame, table: DataFrame, algorithm: str = "unigram"
         ways = found.select("unit", *keep, F.explode(F.array(F.expr(fold))).alias("best"))
         raw = """aggregate(sequence(1, size(best)), struct(size(best) - 1 as e, cast(array() as array<int>) as way),
             (a, k) -> if(a.e <= 0, a, struct(best[a.e].s as e, concat(array(best[a.e].id), a.way) as way)), a -> a.way)"""
-    if len(spelling) == 256:
-        codes = F.array(*[F.lit(x) for x in spelling])
-        char = lambda i: F.replace(F.substr("unit", F.lit(-1) - i, F.lit(1)), F.lit(" "), F.lit(MARK))
-        spell = lambda i: F.transform(F.sequence(F.lit(1), F.octet_length(char(i))), lambda k: F.get(codes, F.conv(F.hex(F.substring(F.encode(char(i), "UTF-8"), k, 1)), 16, 10).cast("int")))
-    else:
-        spell = lambda i: F.array(F.lit(spelling[0]))
-    known = lambda way: F.when(F.array_min(way) >= 0, way).otherwise(F.flatten(F.transform(way, lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(i)))))
+    known = lambda way: F.when(F.array_min(way) >= 0, way).otherwise(F.flatten(F.transform(way, lambda i: F.when(i >= 0, F.array(i)).otherwise(_codes(i, spelling)))))
     ids = F.get(F.transform(F.array(F.expr(raw)), known), F.lit(0))
     return ways.select("unit", *keep, ids.alias("ids"))
 

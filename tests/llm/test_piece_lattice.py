@@ -50,6 +50,29 @@ def test_ids_equal_the_librarys_bpe_encoder(spark, sf):
     assert got == {i: lib.encode(t) if t else [] for i, t in enumerate(texts)}
 
 
+def test_long_words_equal_the_librarys(spark):
+    import public_tokenizers
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(4)
+    letters = lambda n, some="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(some) for _ in range(n))
+    texts = [letters(n) for n in (62, 63, 64, 65, 127, 128, 129, 5000)] + ["a" * 700, "ab" * 400, letters(600, "aeé日\U0001f600"), "日" * 150, letters(300) + " " + letters(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = piece_table(spark)
+    ids = encode(docs, table, algorithm=model_type()).cache()
+    assert {x.doc_id: list(x.ids) for x in ids.collect()} == {i: lib.encode(t) for i, t in enumerate(texts)}
+    assert {x.doc_id: x.text for x in decode(ids, table).collect()} == dict(enumerate(texts))
+
+
+def test_a_word_of_100_000_letters(spark):
+    import public_tokenizers
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    assert list(encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), piece_table(spark), algorithm="bpe").first().ids) == lib.encode(text)
+
+
 def test_round_trip(spark, sf):
     table = piece_table(spark)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD) if t and "▁" not in t], "doc_id long, text string")
