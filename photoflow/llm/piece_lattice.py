@@ -234,11 +234,16 @@ def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     back = F.replace(_spelled(F.col("ids"), rows), F.lit(MARK), F.lit(" ")) == F.col("unit")
     known = materialise(known.select("unit", "count", F.size("ids").alias("n"), F.xxhash64("ids").alias("h"), back.cast("int").alias("same")), "units")
     top = materialise(_frequent(known).drop("count"), "top")
-    each = docs.select("doc_id", F.posexplode(units).alias("at", "unit"))
-    value = F.xxhash64("at", "h").cast("decimal(38,0)")
-    common = each.join(F.broadcast(top), "unit").select("doc_id", "n", "same", value.alias("v"))
-    rare = each.join(F.broadcast(top.select("unit")), "unit", "left_anti").join(known.drop("count"), "unit").select("doc_id", "n", "same", value.alias("v"))
-    sums = common.union(rare).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_pieces"), F.sum("same").alias("n_same"), F.sum("v").alias("digest"))
+    # one pass: what the frequent units give is summed per document before the shuffle, each other unit is a row that is looked up
+    each = docs.select("doc_id", F.posexplode(units).alias("at", "unit")).join(F.broadcast(top), "unit", "left")
+    rare, value = F.col("h").isNull(), F.xxhash64("at", "h").cast("decimal(38,0)")
+    rows_of = each.groupBy("doc_id", F.when(rare, F.col("unit")).alias("unit"), F.when(rare, F.col("at")).alias("at"))
+    parts = rows_of.agg(F.count("*").alias("c"), F.sum("n").alias("pn"), F.sum("same").alias("ps"), F.sum(F.when(~rare, value)).alias("pv"))
+    # sums have keys of their own, so that no key is hot
+    parts = parts.withColumn("key", F.when(F.col("unit").isNull(), F.concat(F.lit("d"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("u"), "unit"))).drop("unit")
+    found = parts.join(known.select(F.concat(F.lit("u"), "unit").alias("key"), "n", "same", "h"), "key", "left")
+    v = F.when(F.col("h").isNull(), F.col("pv")).otherwise((value * F.col("c")).cast("decimal(38,0)"))
+    sums = found.groupBy("doc_id").agg(F.sum("c").alias("n_units"), F.sum(F.coalesce("pn", F.col("n") * F.col("c"))).alias("n_pieces"), F.sum(F.coalesce("ps", F.col("same") * F.col("c"))).alias("n_same"), F.sum(v).alias("digest"))
     zero = F.lit(0).cast("long")
     counts = [F.coalesce(c, zero).alias(c) for c in ("n_units", "n_pieces", "n_same")]
     return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", *counts, F.coalesce(F.col("digest").cast("string"), F.lit("0")).alias("ids_digest"))
