@@ -112,20 +112,19 @@ def lattice(units: DataFrame, table: DataFrame, algorithm: str, *keep: str) -> D
 
     An edge has its start, its end and its id; that of a character without a piece is -2 less its code point. For ``bpe``
     edges of one character are apart, as ``chars``, in order, and edges carry their end and id in one number.
-    Long units are looked at in windows of WINDOW starts, and their edges grouped by a digest: no row repeats a long unit.
+    Long units are looked at in windows of WINDOW starts.
     """
     rows = _rows(table)
     normal = [r for r in rows if r.kind in (1, 4)]
     longest = max((len(r.piece) for r in normal), default=1)
     unknown = min((r.score for r in normal), default=0.0) - UNKNOWN_PENALTY
-    short = F.length("unit") <= WINDOW
-    key = F.when(short, F.col("unit")).otherwise(F.concat(F.lit("-" * WINDOW), F.sha2("unit", 256))).alias("key")  # longer than any short unit
-    windows = F.when(short, F.array(F.struct(F.lit(0).alias("base"), F.col("unit").alias("part"), F.lit(None).cast("string").alias("whole"))))
-    windows = windows.otherwise(F.expr(f"transform(sequence(0, length(unit) - 1, {WINDOW}), b -> struct(b as base, substring(unit, b + 1, {WINDOW + longest - 1}) as part, if(b = 0, unit, null) as whole))"))
-    spread = units.where("unit <> ''").select(key, *keep, F.explode(windows).alias("w")).select("key", *keep, "w.*")
+    # units stay the key, so that edges are grouped where the units lie, without an exchange
+    windows = F.when(F.length("unit") <= WINDOW, F.array(F.struct(F.lit(0).alias("base"), F.col("unit").alias("part"))))
+    windows = windows.otherwise(F.expr(f"transform(sequence(0, length(unit) - 1, {WINDOW}), b -> struct(b as base, substring(unit, b + 1, {WINDOW + longest - 1}) as part))"))
+    spread = units.where("unit <> ''").select("unit", *keep, F.explode(windows).alias("w")).select("unit", *keep, "w.*")
     spread = spread.select("*", F.explode(F.expr(f"sequence(0, least({WINDOW}, length(part)) - 1)")).alias("p"))
-    spread = spread.select("key", *keep, "base", "p", "part", F.when(F.col("p") == 0, F.col("whole")).alias("whole"), F.explode(F.expr(f"sequence(1, least(length(part) - p, {longest}))")).alias("n"))
-    spread = spread.select("key", *keep, (F.col("base") + F.col("p")).alias("s"), "n", F.expr("substring(part, p + 1, n)").alias("piece"), F.when(F.col("n") == 1, F.col("whole")).alias("whole"))
+    spread = spread.select("*", F.explode(F.expr(f"sequence(1, least(length(part) - p, {longest}))")).alias("n"))
+    spread = spread.select("unit", *keep, (F.col("base") + F.col("p")).alias("s"), "n", F.expr("substring(part, p + 1, n)").alias("piece"))
     pieces = table.where("kind in (1, 4)").select(F.replace("piece", F.lit(MARK), F.lit(" ")).alias("piece"), "id", "score")
     edges = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
     code = F.coalesce("id", F.lit(-2) - F.ascii("piece"))
@@ -136,9 +135,7 @@ def lattice(units: DataFrame, table: DataFrame, algorithm: str, *keep: str) -> D
     else:
         one = F.struct((F.col("s") + F.col("n")).alias("e"), F.col("s"), F.coalesce("score", F.lit(unknown)).alias("score"), code.alias("id"))
         found = [F.sort_array(F.collect_list(one)).alias("edges")]
-    names = ["edges", "chars"][: len(found)]
-    grouped = edges.groupBy("key").agg(*found, F.max("whole").alias("whole"), *[F.first(c).alias(c) for c in keep])
-    return grouped.select(F.coalesce("whole", "key").alias("unit"), *names, *keep)
+    return edges.groupBy("unit").agg(*found, *[F.first(c).alias(c) for c in keep])
 
 
 def _merges() -> str:
