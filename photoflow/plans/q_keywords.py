@@ -11,6 +11,7 @@ from photoflow.plans.fixtures import ctes, view
 from photoflow.plans.q_files import images as image_files
 from photoflow.plans.q_json import RESPONSES
 from photoflow.plans.registry import ORACLE_SQL, query
+from photoflow.sources.shared import dealt
 
 _O = ctes("v_observations")
 _FOLD = "trim(regexp_replace(lower(term), '\\s+', ' ', 'g'))"
@@ -34,8 +35,8 @@ def vocab(spark, sf):
 
 
 def observations(spark, sf):
-    """Terms with their entries."""
-    return V.canonicalize(view(spark, sf, "v_observations"), vocab(spark, sf), ascii_only=True)
+    """Terms with their entries, an image's in one task."""
+    return dealt(V.canonicalize(view(spark, sf, "v_observations"), vocab(spark, sf), ascii_only=True), "observations", "session_id", "image_id")
 
 
 _ITEMS = [(i, f, k, x) for i, (r, _) in enumerate(RESPONSES) for f in K.FIELDS for k, x in enumerate(r.get(f, [])) if isinstance(x, dict)]
