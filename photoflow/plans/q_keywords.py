@@ -89,7 +89,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY image_id, term ORDER BY CASE WHE
 SELECT image_id, term, input_role FROM w WHERE n = 1""")
 def key_roles(spark, sf):
     """KEY4, KEY5."""
-    c = view(spark, sf, "v_observations").withColumn("term", K.fold(F.col("term"), ascii_only=True)).selectExpr(*_FIELDS.split(", ")).distinct()
+    c = dealt(view(spark, sf, "v_observations"), "candidates", "image_id").withColumn("term", K.fold(F.col("term"), ascii_only=True)).selectExpr(*_FIELDS.split(", ")).distinct()
     return K.prefer_role(K.filter_band(c, "medium")).select("image_id", "term", "input_role")
 
 
