@@ -96,7 +96,12 @@ def upper_medians(df: DataFrame, by: list[str], values: dict[str, str], bits: in
 
 
 def bench_metrics(documents: DataFrame, runs: DataFrame, bench: str = "bench_id") -> DataFrame:
-    """Per benchmark run, from ``documents(bench, doc_id, n_errors, pipeline_ms)`` and ``runs(bench, json_valid, n_attempts, load_ns, duration_ms)`` (AGG3, AGG5, AGG6)."""
+    """Per benchmark run, from ``documents(bench, doc_id, n_errors, pipeline_ms)`` and ``runs(bench, json_valid, n_attempts, load_ns, duration_ms)`` (AGG3, AGG5, AGG6).
+
+    Both are read in each pass of the medians, so they are worked out once, as tables.
+    """
+    documents = written(documents.select(bench, "n_errors", "pipeline_ms"), "documents")
+    runs = written(runs.select(bench, "json_valid", "n_attempts", "load_ns", "duration_ms"), "runs")
     d = documents.groupBy(bench).agg(F.count("*").alias("documents"), F.count_if(F.col("n_errors") > 0).alias("failed_documents"))
     r = runs.groupBy(bench).agg(
         F.count("*").alias("runs"), F.count_if("json_valid").alias("valid_runs"), F.sum(F.greatest(F.coalesce("n_attempts", F.lit(0)) - 1, F.lit(0))).alias("repair_attempts"),
