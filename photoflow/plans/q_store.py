@@ -81,7 +81,7 @@ def src_documents(spark, sf):
     root = _folder(spark)
     docs = view(spark, sf, "documents").selectExpr(f"{_PATH} AS path", f"{_DOC} AS json")
     D.write_documents(docs, root, "overwrite", "path", "json")
-    good, bad = D.read_documents(spark, f"file://{root}/*/*.ai.json")
+    good, bad = D.read_document_tree(spark, root)
     number = F.regexp_extract("path", r"([0-9]+)\.ai\.json$", 1).cast("long").alias("doc_id")
     good = good.select(number, D.get(F.col("doc"), "$.n_chars", "bigint").alias("n_chars"), F.lit(None).cast("string").alias("error_code"))
     return good.union(bad.select(number, F.lit(None).cast("long"), "error_code"))
@@ -125,7 +125,7 @@ def snk_documents(spark, sf):
         said = first.join(again.select("path", F.col("outcome").alias("o"), F.col("error_code").alias("e")), "path", "left")
         said = said.select(number, "outcome", "error_code", (F.equal_null("outcome", "o") & F.equal_null("error_code", "e")).alias("same_again"))
         done = said if done is None else done.union(said)
-    left = spark.read.text(f"file://{root}/*/*.ai.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    left = D.read_tree(spark, root).select("path", F.col("value").alias("json"))
     return left.select(number, "json").join(done, "doc_id").select("doc_id", "outcome", "error_code", "same_again", "json")
 
 
@@ -149,7 +149,7 @@ def src_documents(spark, sf):
     root = _folder(spark)
     docs = view(spark, sf, "documents").selectExpr(f"{_PATH} AS path", f"{_DOC} AS json")
     D.write_documents(docs, root, "overwrite", "path", "json")
-    good, bad = D.read_documents(spark, f"file://{root}/*/*.ai.json")
+    good, bad = D.read_document_tree(spark, root)
     number = F.regexp_extract("path", r"([0-9]+)\.ai\.json$", 1).cast("long").alias("doc_id")
     good = good.select(number, D.get(F.col("doc"), "$.n_chars", "bigint").alias("n_chars"), F.lit(None).cast("string").alias("error_code"))
     return good.union(bad.select(number, F.lit(None).cast("long"), "error_code"))
@@ -184,7 +184,7 @@ def snk_documents(spark, sf):
         done = said if done is None else done.union(said)
     out = f"{root}-outcomes"
     done.write.parquet(out)
-    left = spark.read.text(f"file://{root}/*/*.ai.json", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)\.ai\.json$", 1).cast("long").alias("doc_id"), F.col("value").alias("json"))
+    left = D.read_tree(spark, root).select(F.regexp_extract("path", r"([0-9]+)\.ai\.json$", 1).cast("long").alias("doc_id"), F.col("value").alias("json"))
     done = spark.read.parquet(out).select(F.regexp_extract("path", r"([0-9]+)\.ai\.json$", 1).cast("long").alias("doc_id"), "outcome")
     return left.join(done, "doc_id").select("doc_id", "outcome", "json")
 

@@ -6,11 +6,13 @@ import os
 import shutil
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photoflow.functions import json_schema as J
 from photoflow.operators.reports import EXPORT_STATUSES, batch_counts, batch_errors
+from photoflow.sources.inventory import walked
 from photoflow.sources.merge import merge_documents  # noqa: F401
 from photoflow.sources.parts import write_parts
 from photoflow.sources.shared import drop, written
@@ -25,9 +27,55 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     return split_documents(raw)
 
 
-def split_documents(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Files that a task of :func:`read_tree` reads, and characters that it hands on together, give or take.
+TASK_FILES, SOME_CHARS = 20_000, 8_000_000
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """The text of each file of ``files(path)``: ``path, value``, and ``problem`` where it can't be read; null where it isn't UTF-8."""
+
+    def run(batches):
+        for pdf in batches:
+            rows, size = [], 0
+            for path in pdf["path"]:
+                value = problem = None
+                try:
+                    with open(path, "rb") as f:
+                        value = f.read().decode("utf-8")
+                except OSError as e:
+                    problem = str(e)
+                except UnicodeDecodeError:
+                    pass
+                rows.append((path, value, problem))
+                size += len(value or "")
+                if size > SOME_CHARS:
+                    yield pd.DataFrame(rows, columns=["path", "value", "problem"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "value", "problem"])
+
+    return files.select("path").mapInPandas(run, "path string, value string, problem string")
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".ai.json") -> DataFrame:
+    """:func:`read_texts` of the files below a mounted folder whose names end so, however many: the driver lists none of them.
+
+    Spark's own reader lists all files on the driver and reads some 30 of them a task.
+    """
+    found = walked(spark, root, True)[0].where("failure is null").where(F.endswith("path", F.lit(suffix))).select("path")
+    return read_texts(found.repartition(max(1, spark.sparkContext.defaultParallelism, -(-found.count() // TASK_FILES)), "path"))
+
+
+def read_document_tree(spark: SparkSession, root: str, suffix: str = ".ai.json") -> tuple[DataFrame, DataFrame]:
+    """:func:`read_documents` of the files of :func:`read_tree`; those that can't be read are E_FILE_READ."""
+    raw = read_tree(spark, root, suffix)
+    raw = raw.select("path", F.try_parse_json("value").alias("doc"), "problem")
+    good, bad = split_documents(raw, F.when(F.col("problem").isNotNull(), "E_FILE_READ").otherwise("E_SIDECAR_INVALID"))
+    return good.drop("problem"), bad
+
+
+def split_documents(raw: DataFrame, code: Column | None = None) -> tuple[DataFrame, DataFrame]:
     ok = F.coalesce(J.kind(F.col("doc")) == "object", F.lit(False))
-    return raw.where(ok), raw.where(~ok).select("path", F.lit("E_SIDECAR_INVALID").alias("error_code"))
+    return raw.where(ok), raw.where(~ok).select("path", (F.lit("E_SIDECAR_INVALID") if code is None else code).alias("error_code"))
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,11 @@ def _place(root: str, path: str | None) -> str | None:
     return out if out.startswith(root.rstrip("/") + "/") else None
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt by path to twice as many tasks as cores: files cost far more than the few bytes by which Spark cuts a table."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def stage(df: DataFrame, root: str, path: str = "sidecar_path", text: str = "json") -> Staged:
     """Write each row's text beside the tree, on its file system. Rows without a text or a place below ``root`` have a ``problem``."""
     root = os.path.abspath(root)
@@ -73,7 +78,7 @@ def stage(df: DataFrame, root: str, path: str = "sidecar_path", text: str = "jso
             yield pd.DataFrame(rows, columns=["path", "target", "staged", "problem"])
 
     src = df.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    return Staged(written(src.mapInPandas(run, STAGED), "staged"), folder, path)
+    return Staged(written(_spread(src).mapInPandas(run, STAGED), "staged"), folder, path)
 
 
 def _linked(staged: str, target: str, policy: str) -> tuple[str, str | None]:
@@ -111,7 +116,7 @@ def publish(staged: Staged, policy: str) -> DataFrame:
             done = [("failed", "E_WRITE_FAILED") if bad is not None else _linked(s, t, policy) for s, t, bad in zip(pdf["staged"], pdf["target"], pdf["problem"], strict=True)]
             yield pd.DataFrame({"path": pdf["path"], "outcome": [x[0] for x in done], "error_code": [x[1] for x in done]})
 
-    return written(staged.rows.mapInPandas(run, OUTCOME), "outcomes")
+    return written(_spread(staged.rows).mapInPandas(run, OUTCOME), "outcomes")
 
 
 def clear(staged: Staged) -> None:
@@ -124,7 +129,7 @@ def clear(staged: Staged) -> None:
                     os.unlink(s)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    staged.rows.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    _spread(staged.rows).mapInPandas(run, "n long").agg(F.sum("n")).collect()
     shutil.rmtree(staged.folder, ignore_errors=True)
     drop(staged.rows)
 
